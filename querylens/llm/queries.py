@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylens.llm import formats, leaks, mixing, near, overlap, spans, splits
+from querylens.llm.oracle import ORACLE  # noqa: F401
 from querylens.sources.tables import table
 
 
@@ -77,4 +78,3 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_collapsed, p5_found, p5_report, p5_coverage, p6_found, p6_near, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
-ORACLE: dict[str, str] = {}
