@@ -91,8 +91,8 @@ def _windows(least: int):
             of, seed, place = np.repeat(of, n), np.repeat(seed, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             at = place + t.begin[of]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(of)), pa.array(seed), pa.array(t.hash(at, at + least).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(place.astype(np.int32))],
-                ["doc", "seed", "content", "lo", "hi"],
+                [batch.column("id").take(pa.array(of)), pa.array(seed), pa.array(t.hash(at, at + least).view(np.int64)), pa.array(place.astype(np.int32))],
+                ["doc", "seed", "content", "lo"],
             )
 
     return run
@@ -100,21 +100,19 @@ def _windows(least: int):
 
 def _matched(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row with one occurrence of the same content in another document."""
-    apart = groups.where("first.doc != last.doc")
     other = F.when(F.col("first.doc") != F.col("doc"), F.col("first")).otherwise(F.col("last"))
-    return join_counted(rows, apart, ["seed", "content"], "n").select("doc", "lo", "hi", other["doc"].alias("other"), other["lo"].alias("other_lo"))
+    return join_counted(rows, groups.where("first.doc != last.doc"), ["seed", "content"], "n").select("doc", "lo", "hi", other["doc"].alias("other"), other["lo"].alias("other_lo"))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    at = F.struct("doc", "lo", "hi")
-    return cut(rows.groupBy("seed", "content").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")))
+def _grouped(rows: DataFrame, *at: str) -> DataFrame:
+    return rows.groupBy("seed", "content").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("first"), F.max(F.struct(*at)).alias("last"))
 
 
 def matches(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     """Rows (doc, lo, hi, other, other_lo): the windows of doc that begin at lo to hi also stand in other, from other_lo on."""
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").where(F.length("text") >= least)
     runs = cut(texts.mapInArrow(_runs(least, k), "doc long, seed long, content long, lo int, hi int"))
-    groups = _grouped(runs)
+    groups = cut(_grouped(runs, "doc", "lo", "hi"))
     unlike = (
         groups.groupBy("seed").agg(F.count("*").alias("variants"), F.min("first.doc").alias("a"), F.max("last.doc").alias("b"))
         .where("variants > 1 and a != b").select("seed")
@@ -125,8 +123,9 @@ def matches(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     within = runs.join(single.where("n > 2").select("seed", "content"), ["seed", "content"], "left_semi").select("doc", "seed", "lo", "hi")
     ends = open_.select("seed", F.explode(F.array("first", "last")).alias("at")).select(F.col("at.doc").alias("doc"), "seed", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
     lists = cut(ends.unionByName(within).distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("runs")))
-    windows = cut(texts.join(small(lists, 200_000), "id").mapInArrow(_windows(least), "doc long, seed long, content long, lo int, hi int"))
-    return _matched(runs, groups).unionByName(_matched(windows, _grouped(windows)))
+    windows = cut(texts.join(small(lists, 200_000), "id").mapInArrow(_windows(least), "doc long, seed long, content long, lo int"))
+    shared = cut(_grouped(windows, "doc", "lo").where("first.doc != last.doc"))
+    return _matched(runs, groups).unionByName(_matched(windows.withColumn("hi", F.col("lo")), shared))
 
 
 def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray, gap: float = 0.05) -> np.ndarray:
