@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from querylens.plans import traces
+from querylens.plans import comparison, profiles, scores, semantics, streams, texts, traces
 
-QUERIES = {} | traces.QUERIES
-ORACLE = {} | traces.ORACLE
+_PARTS = (traces, scores, comparison, semantics, profiles, texts, streams)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
