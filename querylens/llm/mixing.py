@@ -30,8 +30,8 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Rows (doc_id, source, tokens) with the tokens of the whole text; null texts have none."""
+def count_tokens(documents: DataFrame, path: str | None = None, pattern: str | None = None, weight: str | None = None) -> DataFrame:
+    """Rows (doc_id, source, tokens, weight) with the tokens of the whole text; null texts have none, a null weight is 1."""
     if path is None:
         import public_tokenizers
 
@@ -41,9 +41,10 @@ def count_tokens(documents: DataFrame, path: str | None = None, pattern: str | N
         encoding = _encoding(path, pattern)
         for batch in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), batch.column("weight")], ["doc_id", "source", "tokens", "weight"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text").mapInArrow(run, "doc_id long, source string, tokens long")
+    heavy = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text", heavy.alias("weight")).mapInArrow(run, "doc_id long, source string, tokens long, weight double")
 
 
 def _targets(counted: DataFrame, targets: DataFrame, total: float | None) -> tuple[dict[str, dict], float]:
@@ -79,17 +80,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     """
     spark = documents.sparkSession
     wanted = targets.where("source is not null").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    if weight is None:
-        counted = count_tokens(documents, path, pattern).withColumn("_weight", F.lit(1.0))
-    else:
-        counted = count_tokens(documents, path, pattern).join(documents.select("doc_id", F.col(weight).cast("double").alias("_weight")), "doc_id")
+    counted = count_tokens(documents, path, pattern, weight)
     counted = cut(counted.where("tokens > 0 and doc_id is not null"))
     per, _ = _targets(counted, wanted, total)
     facts = spark.createDataFrame([(s, float(p["share"]), int(p["cap"]), int(p["have"]), float(p["aim"]), int(p["copies"]), float(p["rest"])) for s, p in sorted(per.items())], "source string, share double, cap int, have long, aim double, copies int, rest double")
-    mean = counted.groupBy("source").agg((F.sum(F.col("tokens") * F.col("_weight")) / F.sum("tokens")).alias("_mean"))
+    mean = counted.groupBy("source").agg((F.sum(F.col("tokens") * F.col("weight")) / F.sum("tokens")).alias("_mean"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     # odds of inclusion, kept away from 0 and 1
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("rest") / F.col("have") * F.col("_weight") / F.col("_mean")))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("rest") / F.col("have") * F.col("weight") / F.col("_mean")))
     rank = (u / (1 - u)) / (p / (1 - p))
     ranked = (
         counted.join(F.broadcast(facts), "source").join(F.broadcast(mean.join(F.broadcast(facts.select("source")), "source", "left_semi")), "source")

@@ -54,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
 
 
-def _describe(counts):
+def _describe(counts, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in words.slices(batches, ("_a", "_b")):
@@ -75,7 +75,7 @@ def _describe(counts):
             t, often, of = t[order], often[order], rows[order]
             place = np.arange(len(t)) - np.repeat(begin, n[full])
             first = place < (n - least_shared(n) + 1)[of]
-            key, of, hot = (t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), of[first], often[first] > HOT
+            key, of, hot = (t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), of[first], often[first] > limit
             lists = []
             for keep in (~hot, hot):
                 ends = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=batch.num_rows))].astype(np.int32)
@@ -147,9 +147,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_blocks(tile: int):
     """The same for pairs of blocks of a hot bucket, tile by tile. Words travel along, so links are proven here and only a
     spanning forest of each pair of blocks leaves."""
+    return lambda batches: _tiles(batches, tile)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
     for table in _buckets(batches, ("key", "i", "j"), 1):
         key, i, j, side, ident, n, s1, s2 = _numbers(table, "key", "i", "j", "side", "id", "n", "s1", "s2")
         sets = [None] * len(key)
@@ -169,10 +173,10 @@ def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(begin, np.r_[begin[1:], len(key)]):
             at = lo + np.argsort(ones[lo:hi], kind="stable")
             left, right = at[side[at] == i[lo]], at[side[at] == j[lo]]
-            for p in range(0, len(left), TILE):
-                a = left[p : p + TILE]
-                for q in range(0, len(right), TILE):
-                    b = right[q : q + TILE]
+            for p in range(0, len(left), tile):
+                a = left[p : p + tile]
+                for q in range(0, len(right), tile):
+                    b = right[q : q + tile]
                     far = int(max(widest(n[a]).max(), widest(n[b]).max()))
                     if ones[b[0]] - ones[a[-1]] > far or ones[a[0]] - ones[b[-1]] > far:
                         continue
@@ -192,7 +196,7 @@ def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
 
 
-def near_groups(rows: DataFrame, ident: str, first: str, second: str) -> DataFrame:
+def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count: int = HOT, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Rows (group_id, id) for every row that is alike to another, closed over chains; group_id is the smallest id.
 
     Null texts count as empty; rows without any word and rows with a null id are in no group. An id that is repeated counts
@@ -202,6 +206,9 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str) -> DataFra
     2. Rows with the same words are one class (128-bit key), so copies cost nothing from here on.
     3. Every class goes into the buckets of its rarest words, where sketches are compared.
     4. Pairs within the radius are checked exactly on all words; links are contracted to groups.
+
+    A word that is counted more than hot_count times may make a bucket for more than one task; its rows are laid into pairs
+    of blocks of about `block` rows, which are compared in tiles. The three numbers change the work, never the result.
     """
     spark = rows.sparkSession
     texts = rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(first).alias("_a"), F.col(second).alias("_b"))
@@ -209,7 +216,7 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str) -> DataFra
     count = np.zeros(1 << CELLS, np.int64)
     count[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(count, 2**31 - 1).astype(np.int32))
-    rows_ = cut(texts.mapInArrow(_describe(shared), "id long, k1 long, k2 long, n int, s1 long, s2 long, keys array<int>, hot_keys array<int>"))
+    rows_ = cut(texts.mapInArrow(_describe(shared, hot_count), "id long, k1 long, k2 long, n int, s1 long, s2 long, keys array<int>, hot_keys array<int>"))
     filled = rows_.where("n > 0")
     classes = filled.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "s1", "s2", "keys", "hot_keys"), "id").alias("of"), F.min("id").alias("id")).select("id", "of.*")
     entries = classes.select(F.explode("keys").alias("key"), "id", "n", "s1", "s2")
@@ -218,7 +225,7 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str) -> DataFra
     links = _proven(pairs, texts)
     hot = classes.where(F.size("hot_keys") > 0)
     if hot.take(1):
-        links = links.unionByName(_hot_links(cut(hot), texts, parts))
+        links = links.unionByName(_hot_links(cut(hot), texts, parts, block, tile))
     links = cut(links)
     labels = components(links)
     copies = join_counted(filled.select("k1", "k2", F.col("id").alias("member")), cut(filled.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")), ["k1", "k2"], "copies").select("id", "member")
@@ -237,9 +244,9 @@ def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _hot_links(hot: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _hot_links(hot: DataFrame, texts: DataFrame, parts: int, block: int, tile: int) -> DataFrame:
     entries = hot.select(F.explode("hot_keys").alias("key"), "id", "n", "s1", "s2")
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     found = texts.join(hot.select("id"), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
     blocks = (
         entries.join(small(sizes), "key").join(found, "id")
@@ -247,4 +254,4 @@ def _hot_links(hot: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "n", "s1", "s2", "tokens")
     )
-    return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_blocks, "a long, b long").distinct()
+    return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_blocks(tile), "a long, b long").distinct()

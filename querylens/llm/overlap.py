@@ -29,6 +29,7 @@ SHARD = 300_000
 
 def _with_roots(samples: DataFrame, registry: DataFrame) -> DataFrame:
     of, _ = roots(registry)
+    samples = samples.select("sample_id", "db_id", "split", "source", "question", "query")
     return samples.withColumn("_key", name_key(F.col("db_id"))).join(of.select(F.col("key").alias("_key"), "root_db"), "_key").where("root_db is not null")
 
 
@@ -36,7 +37,7 @@ def overlaps(samples: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows (first_id, second_id, train_id, eval_id): every pair of a train row and a dev or test row in one group of problem 1
     whose written names belong to one family. Rows without a split, a known name or an id are in no pair."""
     groups = near_groups(samples, "sample_id", "question", "query")
-    rows = _with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION)).select("sample_id", "db_id", "split"), registry)
+    rows = _with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION)), registry)
     placed = cut(groups.withColumnRenamed("id", "sample_id").join(rows, "sample_id").select("group_id", "root_db", "sample_id", "split"))
     train = placed.where(F.col("split").isin(TRAIN)).select("group_id", "root_db", F.col("sample_id").alias("train_id"))
     held = placed.where(F.col("split").isin(EVALUATION)).select("group_id", "root_db", F.col("sample_id").alias("eval_id"))
@@ -101,10 +102,10 @@ def coverage(samples: DataFrame, registry: DataFrame) -> DataFrame:
 
     n_covered counts the words of question and query that stand in five or more words in a row that a train row of the same
     family holds too. The passages of all evaluation rows are sharded into automata of bounded size; every automaton scans
-    all training texts. Null texts count as empty.
+    all training texts. Null texts count as empty; rows without an id are left out.
     """
     text = F.concat_ws("\n", F.coalesce("question", F.lit("")), F.coalesce("query", F.lit("")))
-    rows = cut(_with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION)), registry).select(F.col("sample_id").alias("id"), "root_db", "split", "source", text.alias("text")))
+    rows = cut(_with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION) & F.col("sample_id").isNotNull()), registry).select(F.col("sample_id").alias("id"), "root_db", "split", "source", text.alias("text")))
     held = rows.where(F.col("split").isin(EVALUATION))
     train = rows.where(F.col("split").isin(TRAIN)).select("root_db", "text")
     places = cut(held.select("id", "root_db", "text").mapInArrow(_shingles, "id long, root_db string, place int, passage array<int>"))
