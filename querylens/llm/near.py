@@ -48,8 +48,9 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(1 << CELLS, np.int64)
     for batch in words.slices(batches, ("_a", "_b")):
-        _, t = words.tokens(_texts(batch))
-        n += np.bincount((t >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+        _, codes, different = words.flat(_texts(batch))
+        cells = (words.hashes(different) >> np.uint64(64 - CELLS)).astype(np.int64)
+        np.add.at(n, cells, np.bincount(codes, minlength=len(different)))
     cell = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
 
@@ -58,7 +59,13 @@ def _describe(counts, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in words.slices(batches, ("_a", "_b")):
-            rows, t = words.tokens(_texts(batch))
+            rows, codes, different = words.flat(_texts(batch))
+            h = words.hashes(different)
+            often = count[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
+            place = np.empty(len(h), np.int64)
+            place[np.lexsort((h, often))] = np.arange(len(h))  # one order of all words, rare ones first
+            rows, codes, nth = words.ordered(rows, codes, place) if len(rows) else (rows, codes, codes)
+            t, often = words.hashed(h[codes], nth), often[codes]
             n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
             begin = words.starts(rows)
             full = np.flatnonzero(n)
@@ -70,12 +77,8 @@ def _describe(counts, limit: int):
                 side = (other >> np.uint64(6)) & np.uint64(1)
                 out["s1"][full] = np.bitwise_xor.reduceat(np.where(side == 0, bit, np.uint64(0)), begin)
                 out["s2"][full] = np.bitwise_xor.reduceat(np.where(side == 1, bit, np.uint64(0)), begin)
-            often = count[(t >> np.uint64(64 - CELLS)).astype(np.int64)]
-            order = np.lexsort((t, often, rows))
-            t, often, of = t[order], often[order], rows[order]
-            place = np.arange(len(t)) - np.repeat(begin, n[full])
-            first = place < (n - least_shared(n) + 1)[of]
-            key, of, hot = (t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), of[first], often[first] > limit
+            first = np.arange(len(t)) - np.repeat(begin, n[full]) < (n - least_shared(n) + 1)[rows]
+            key, of, hot = (t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), rows[first], often[first] > limit
             lists = []
             for keep in (~hot, hot):
                 ends = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=batch.num_rows))].astype(np.int32)
@@ -228,8 +231,9 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count:
         links = links.unionByName(_hot_links(cut(hot), texts, parts, block, tile))
     links = cut(links)
     labels = components(links)
-    copies = join_counted(filled.select("k1", "k2", F.col("id").alias("member")), cut(filled.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")), ["k1", "k2"], "copies").select("id", "member")
-    in_copies = copies.join(labels, copies.id == labels.node, "left").select(F.coalesce("component", "id").alias("group_id"), F.col("member").alias("id"))
+    copied = filled.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")
+    groups = cut(copied.join(labels, copied.id == labels.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("group_id"), "copies"))
+    in_copies = join_counted(filled.select("k1", "k2", "id"), groups, ["k1", "k2"], "copies").select("group_id", "id")
     return in_copies.unionByName(labels.select(F.col("component").alias("group_id"), F.col("node").alias("id"))).distinct()
 
 

@@ -63,20 +63,30 @@ def hashes(words: list[str], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For all words, by text: the number of the text and a hash of (word, how often it came before in the text).
+def ordered(rows: np.ndarray, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text by the place of the word, which is one to one: text, code, and how often it came before."""
+    by_place = np.empty(len(place), np.int64)
+    by_place[place] = np.arange(len(place))
+    key = np.sort((rows.astype(np.int64) << 32) | place[codes])
+    rows, codes = key >> 32, by_place[key & 0xFFFFFFFF]
+    at = np.arange(len(key))
+    nth = at - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+    return rows, codes, nth
+
+
+def hashed(h: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A hash of (word, how often it came before). Within a text all differ, so the words that texts share, counted with
+    repeats, are the intersection of their hashes."""
+    return mix(h + nth.astype(np.uint64) * GOLD)
 
-    Within a text all hashes differ, so shared words counted with repeats are the intersection of two texts' hashes.
-    """
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For all words, by text: the number of the text and the hash of (word, how often it came before)."""
     rows, codes, different = flat(texts)
     if not len(rows):
         return rows, np.zeros(0, np.uint64)
-    order = np.lexsort((codes, rows))
-    rows, codes = rows[order], codes[order]
-    new = np.r_[True, (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])]
-    at = np.arange(len(codes))
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    return rows, mix(hashes(different)[codes] + nth.astype(np.uint64) * GOLD)
+    rows, codes, nth = ordered(rows, codes, np.arange(len(different)))
+    return rows, hashed(hashes(different)[codes], nth)
 
 
 def starts(rows: np.ndarray) -> np.ndarray:
