@@ -2,8 +2,9 @@
 
 A window of `least` characters is shared if another document holds it. The smallest hash of the k-mers in a window is its
 seed; windows in a row with one seed make a run, and a run is all that travels: one row for some hundred characters. Runs
-of equal text in two documents are matches at once. Where documents share a seed but their runs differ, only there, single
-windows are compared. No group is paired with itself: every occurrence is matched with one occurrence in another document
+of equal text in two documents are matches at once. Where documents share a seed but their runs differ, only there, runs
+are cut into blocks of windows by their distance from the seed, and a block whose core (what all its windows hold) is in no
+other document is done with; where cores agree but blocks differ, only there, single windows are compared. No group is paired with itself: every occurrence is matched with one occurrence in another document
 (the first or the last by document), which is enough for knowing what is shared. Matches of two documents are joined on
 their diagonals, chained in order with gap costs through a Fenwick tree, and the chains aligned to passages; what is shared
 word for word is the union of the exact parts of all chains.
@@ -23,6 +24,8 @@ from querylens.llm.near import _buckets
 from querylens.operators.shared import cut, join_counted, small
 
 LEAST, K = 300, 100
+#: Blocks are of 2**SHIFT windows, fewer if windows are shorter than twice that.
+SHIFT = 4
 _B = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
@@ -76,56 +79,108 @@ def _runs(least: int, k: int):
     return run
 
 
-def _windows(least: int):
+def _listed(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Text]:
+    """All windows of the runs of a batch: row, run, seed and place in the joined texts."""
+    t = Text(batch.column("text").to_pylist())
+    lists = batch.column("runs")
+    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    seed, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("seed", "lo", "hi"))
+    hi = np.minimum(hi, t.n[of] - least)  # another text under the same id may be shorter
+    n = np.maximum(hi - lo + 1, 0)
+    run = np.repeat(np.arange(len(of)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return of[run], run, seed[run], place + t.begin[of[run]], t
+
+
+def _blocks(least: int, k: int):
+    """Rows (doc, seed, content, lo, hi) of blocks: seed is a hash of the run's seed, the block's distance and its core.
+
+    A window's distance is to the first k-mer in it that is the seed, so equal windows have equal distances."""
+    shift = max(0, min(SHIFT, (least // 2).bit_length() - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, ("text",), 2_000_000):
-            t = Text(batch.column("text").to_pylist())
-            lists = batch.column("runs")
-            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            seed, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("seed", "lo", "hi"))
-            hi = np.minimum(hi, t.n[of] - least)  # another text under the same id may be shorter
-            n = np.maximum(hi - lo + 1, 0)
-            if not n.sum():
+            of, which, seed, at, t = _listed(batch, least)
+            if not len(at):
                 continue
-            of, seed, place = np.repeat(of, n), np.repeat(seed, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            at = place + t.begin[of]
+            every = np.arange(len(t.sums) - k)
+            grams = t.hash(every, every + k).view(np.int64)
+            seeds = np.unique(seed)
+            rank = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
+            spots = np.flatnonzero(seeds[rank] == grams)
+            ordered = np.sort(rank[spots] * len(grams) + spots)
+            want = np.searchsorted(seeds, seed) * len(grams)
+            first = ordered[np.minimum(np.searchsorted(ordered, want + at), max(0, len(ordered) - 1))] - want if len(ordered) else at - 1
+            good = (first >= at) & (first <= at + least - k)
+            of, which, seed, at, first = (x[good] for x in (of, which, seed, at, first))
+            if not len(at):
+                continue
+            block = (first - at) >> shift
+            begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1]) | (block[1:] != block[:-1])])
+            lo, hi = at[begin], at[np.r_[begin[1:], len(at)] - 1]
+            of, seed, first, block = of[begin], seed[begin], first[begin], block[begin]
+            core = first - (block << shift)
+            key = words.mix(seed.view(np.uint64) * words.GOLD + t.hash(core, core - (1 << shift) + 1 + least) + block.astype(np.uint64))
+            content = words.mix(t.hash(lo, hi + least) + (first - lo).astype(np.uint64))
+            start = t.begin[of]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(of)), pa.array(seed), pa.array(t.hash(at, at + least).view(np.int64)), pa.array(place.astype(np.int32))],
-                ["doc", "seed", "content", "lo"],
+                [batch.column("id").take(pa.array(of)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array((lo - start).astype(np.int32)), pa.array((hi - start).astype(np.int32))],
+                ["doc", "seed", "content", "lo", "hi"],
             )
 
     return run
 
 
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches, ("text",), 2_000_000):
+            of, _, seed, at, t = _listed(batch, least)
+            if len(at):
+                place = pa.array((at - t.begin[of]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), pa.array(seed), pa.array(t.hash(at, at + least).view(np.int64)), place, place], ["doc", "seed", "content", "lo", "hi"])
+
+    return run
+
+
 def _matched(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row with one occurrence of the same content in another document."""
     other = F.when(F.col("first.doc") != F.col("doc"), F.col("first")).otherwise(F.col("last"))
-    return join_counted(rows, groups.where("first.doc != last.doc"), ["seed", "content"], "n").select("doc", "lo", "hi", other["doc"].alias("other"), other["lo"].alias("other_lo"))
+    return join_counted(rows, groups, ["seed", "content"], "n").select("doc", "lo", "hi", other["doc"].alias("other"), other["lo"].alias("other_lo"))
 
 
-def _grouped(rows: DataFrame, *at: str) -> DataFrame:
-    return rows.groupBy("seed", "content").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("first"), F.max(F.struct(*at)).alias("last"))
+def _grouped(rows: DataFrame) -> DataFrame:
+    at = F.struct("doc", "lo", "hi")
+    return rows.groupBy("seed", "content").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
-def matches(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
-    """Rows (doc, lo, hi, other, other_lo): the windows of doc that begin at lo to hi also stand in other, from other_lo on."""
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").where(F.length("text") >= least)
-    runs = cut(texts.mapInArrow(_runs(least, k), "doc long, seed long, content long, lo int, hi int"))
-    groups = cut(_grouped(runs, "doc", "lo", "hi"))
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (id, runs): by document what has to be compared in finer parts, which is where a seed is in several documents with
+    several contents. Of contents in one document these are all occurrences, of contents in more the first and the last."""
     unlike = (
         groups.groupBy("seed").agg(F.count("*").alias("variants"), F.min("first.doc").alias("a"), F.max("last.doc").alias("b"))
         .where("variants > 1 and a != b").select("seed")
     )
     open_ = cut(groups.join(unlike, "seed", "left_semi"))
-    # of contents in one document every occurrence, of contents in several the first and the last document's
-    single = open_.where("first.doc = last.doc")
-    within = runs.join(single.where("n > 2").select("seed", "content"), ["seed", "content"], "left_semi").select("doc", "seed", "lo", "hi")
+    within = rows.join(open_.where("first.doc = last.doc and n > 2").select("seed", "content"), ["seed", "content"], "left_semi").select("doc", "seed", "lo", "hi")
     ends = open_.select("seed", F.explode(F.array("first", "last")).alias("at")).select(F.col("at.doc").alias("doc"), "seed", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
-    lists = cut(ends.unionByName(within).distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("runs")))
-    windows = cut(texts.join(small(lists, 200_000), "id").mapInArrow(_windows(least), "doc long, seed long, content long, lo int"))
-    shared = cut(_grouped(windows, "doc", "lo").where("first.doc != last.doc"))
-    return _matched(runs, groups).unionByName(_matched(windows.withColumn("hi", F.col("lo")), shared))
+    return cut(ends.unionByName(within).distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("runs")))
+
+
+ROWS = "doc long, seed long, content long, lo int, hi int"
+
+
+def matches(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
+    """Rows (doc, lo, hi, other, other_lo): the windows of doc that begin at lo to hi also stand in other, from other_lo on."""
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").where(F.length("text") >= least)
+    runs = cut(texts.mapInArrow(_runs(least, k), ROWS))
+    groups = cut(_grouped(runs))
+    found = _matched(runs, groups.where("first.doc != last.doc"))
+    blocks = cut(texts.join(small(_open(runs, groups), 200_000), "id").mapInArrow(_blocks(least, k), ROWS))
+    groups = cut(_grouped(blocks))
+    found = found.unionByName(_matched(blocks, groups.where("first.doc != last.doc")))
+    windows = cut(texts.join(small(_open(blocks, groups), 200_000), "id").mapInArrow(_windows(least), ROWS))
+    return found.unionByName(_matched(windows, cut(_grouped(windows).where("first.doc != last.doc"))))
 
 
 def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray, gap: float = 0.05) -> np.ndarray:
