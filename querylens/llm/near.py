@@ -25,7 +25,7 @@ PART = (17, 20)  # 85 %
 CELLS = 20
 #: A word counted more often than this makes a hot bucket.
 HOT = 1024
-BLOCK, TILE = 4096, 256
+BLOCK, TILE = 16384, 256
 
 
 def least_shared(longer: np.ndarray) -> np.ndarray:
@@ -157,43 +157,61 @@ def _near_blocks(tile: int):
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}  # what this task has linked so far; rows of one tree need no further proof
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def tops(x: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(top, x.tolist()), np.int64, len(x))
+
     for table in _buckets(batches, ("key", "i", "j"), 1):
         key, i, j, side, ident, n, s1, s2 = _numbers(table, "key", "i", "j", "side", "id", "n", "s1", "s2")
         sets = [None] * len(key)
-        lists = table.column("tokens")
+        lists = table.column("tokens").combine_chunks()
         s = np.stack([s1.view(np.uint64), s2.view(np.uint64)])
         ones, n = np.bitwise_count(s).sum(axis=0).astype(np.int32), n.astype(np.int32)
         cells = np.stack([key.astype(np.int64), i.astype(np.int64), j.astype(np.int64)])
         begin = np.flatnonzero(np.r_[True, (cells[:, 1:] != cells[:, :-1]).any(axis=0)])
         links: list[tuple[int, int]] = []
-        root: dict[int, int] = {}
 
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+        def alike(x: int, y: int) -> bool:
+            for z in (x, y):
+                if sets[z] is None:
+                    sets[z] = frozenset(lists[z].as_py())
+            return PART[1] * len(sets[x] & sets[y]) >= PART[0] * max(n[x], n[y])
 
         for lo, hi in zip(begin, np.r_[begin[1:], len(key)]):
             at = lo + np.argsort(ones[lo:hi], kind="stable")
             left, right = at[side[at] == i[lo]], at[side[at] == j[lo]]
             for p in range(0, len(left), tile):
                 a = left[p : p + tile]
+                ta = tops(ident[a])
                 for q in range(0, len(right), tile):
                     b = right[q : q + tile]
                     far = int(max(widest(n[a]).max(), widest(n[b]).max()))
                     if ones[b[0]] - ones[a[-1]] > far or ones[a[0]] - ones[b[-1]] > far:
                         continue
+                    tb = tops(ident[b])
+                    apart_tree = ta[:, None] != tb
+                    if not apart_tree.any():
+                        continue
                     apart = np.bitwise_count(s[0, a][:, None] ^ s[0, b]).astype(np.int32) + np.bitwise_count(s[1, a][:, None] ^ s[1, b])
-                    for u, v in zip(*np.nonzero(apart <= radius(n[a][:, None], n[b]))):
-                        x, y = int(a[u]), int(b[v])
-                        if ident[x] == ident[y] or top(int(ident[x])) == top(int(ident[y])):
-                            continue
-                        for z in (x, y):
-                            if sets[z] is None:
-                                sets[z] = frozenset(lists[z].as_py())
-                        if PART[1] * len(sets[x] & sets[y]) >= PART[0] * max(n[x], n[y]):
-                            root[top(int(ident[x]))] = top(int(ident[y]))
+                    near = (apart <= radius(n[a][:, None], n[b])) & apart_tree
+                    for u in np.flatnonzero(near.any(axis=1)).tolist():
+                        x, mine = int(a[u]), top(int(ident[a[u]]))
+                        todo = np.flatnonzero(near[u] & (tb != mine)).tolist()
+                        for v in todo:
+                            y = int(b[v])
+                            if (other := top(int(ident[y]))) == mine or not alike(x, y):
+                                continue
+                            root[other] = mine
                             links.append((int(ident[x]), int(ident[y])))
+                        if links:
+                            tb = np.where(np.isin(tb, np.unique(tb[todo])), tops(ident[b]), tb) if todo else tb
+                    ta = tops(ident[a])
         if links:
             both = np.array(links, np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
