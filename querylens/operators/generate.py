@@ -167,3 +167,81 @@ def declare(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Varia
     last = F.max_by("sql", F.when(F.col("error").isNull(), F.col("round_no")))
     final = rounds.groupBy("id").agg(F.coalesce(last, F.lit("")).alias("sql"), F.max_by(F.size("issues") == 0, "round_no").alias("passed"), F.count("*").alias("n_rounds"))
     return final, rounds
+
+
+def asked_of(chat: Chat, build: Callable[[dict], list[dict]], context: DataFrame, threads: int = 10) -> Replies:
+    """A model behind a chat endpoint: messages are built from a row (id, stage, turn and the columns of context, by id) and
+    sent from the executors, some at a time; a failed call gives a null reply."""
+
+    def ask(asked: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from concurrent.futures import ThreadPoolExecutor
+
+            def one(row: dict) -> str | None:
+                try:
+                    return chat(build(row), temperature=row.get("temperature", 0.0))
+                except Exception:  # as in predict_all
+                    return None
+
+            with ThreadPoolExecutor(threads) as pool:
+                for batch in batches:
+                    yield pd.DataFrame({"id": batch["id"], "stage": batch["stage"], "turn": batch["turn"], "reply": list(pool.map(one, batch.to_dict("records")))})
+
+        replies = cut(asked.select("id", "stage", "turn").join(context, "id").mapInPandas(run, "id long, stage string, turn int, reply string"))
+        return asked.join(replies, ["id", "stage", "turn"], "left")
+
+    return ask
+
+
+def messages(row: dict, variant: Variant) -> list[dict]:
+    """The messages of one call: a system text, with the rulebook where the variant has it, and a user text from schema, facts,
+    question and plan of the row."""
+    from querylens.functions.prompts import TEMPLATES, conventions_block
+
+    said = {k: row.get(k) or "" for k in ("schema", "facts", "question", "plan", "profile", "issues")}
+    if row["stage"] == "plan":
+        system, user = TEMPLATES["planner.system"], TEMPLATES["planner.user"].render(schema=said["schema"], profile=said["profile"], question=said["question"])
+    elif row["stage"] == "generate":
+        system, user = TEMPLATES["query.system"], TEMPLATES["query.user"].render(schema=said["schema"], question=said["question"], plan=said["plan"])
+    else:
+        places = {"schema": said["schema"], "facts": said["facts"] or "(no facts known)", "question": said["question"]}
+        user = TEMPLATES["sheet.user"].render(**places, plan=said["plan"]) if variant.use_plan else TEMPLATES["sheet.user.noplan"].render(**places)
+        system = TEMPLATES["sheet.system"]
+        if said["issues"]:
+            user += "\n" + TEMPLATES["sheet.repair"].render(issues=said["issues"])
+    rules = TEMPLATES["rules.sheet" if row["stage"] == "declare" else "rules.direct"].render(rules=conventions_block()) if variant.conventions and row["stage"] != "plan" else ""
+    return [{"role": "system", "content": system.render() + rules}, {"role": "user", "content": user}]
+
+
+def preview(samples: DataFrame, variant: Variant) -> DataFrame:
+    """Rows (id, stage, role, content): every first message that a variant would send, without sending any."""
+    stages = (["plan"] if variant.use_plan else []) + (["declare"] if variant.declare else ["generate"])
+    schema = "id long, stage string, role string, content string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r["id"], s, m["role"], m["content"]) for r in batch.to_dict("records") for s in stages for m in messages(r | {"stage": s}, variant)]
+            yield pd.DataFrame(rows, columns=["id", "stage", "role", "content"])
+
+    return samples.mapInPandas(run, schema)
+
+
+def pipeline(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant, databases: dict, timeout_s: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(predictions, candidates) of a variant: plans, one query or sheet a plan, and a vote over all plans' queries by result.
+
+    predictions: (id, winner, pred_sql), '' where no query came out; candidates: (id, candidate, plan, sql). With one plan the
+    script asks for id, with more for id * n_plans + plan.
+    """
+    from querylens.operators.evaluate import vote
+
+    planned = plans(samples, ask, variant)
+    each = cut(planned.join(samples, "id").withColumn("cid", F.col("id") * variant.n_plans + F.col("turn")).withColumnsRenamed({"id": "sample", "turn": "candidate"}).withColumnRenamed("cid", "id"))
+    if variant.declare:
+        written = declare(each, catalog, ask, variant)[0].select("id", "sql")
+    else:
+        written = generate(each.select("id", F.lit(0).alias("turn"), "plan"), ask).select("id", "sql")
+    candidates = cut(each.join(written, "id").select(F.col("sample").alias("id"), "candidate", "db_id", "plan", "sql"))
+    listed = candidates.orderBy("id", "candidate").collect()
+    won = vote(samples.sparkSession, [(r["id"], r["candidate"], r["db_id"], r["sql"]) for r in listed], databases, timeout_s)
+    chosen = won.select(F.col("question").alias("id"), "winner").join(candidates, "id").where("candidate = winner").select("id", "winner", F.col("sql").alias("pred_sql"))
+    return chosen, candidates.drop("db_id")
