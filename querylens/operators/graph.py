@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.operators.shared import cut
+from querylens.operators.shared import cut, forget
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        edges = cut(large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        last, edges = edges, cut(large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        forget(last)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -59,13 +60,17 @@ def boruvka(links: DataFrame, a: str = "a", b: str = "b", weight: str | None = N
         jump = cut(chosen.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
         while True:
             up = jump.select(F.col("c").alias("to"), F.col("to").alias("up"))
-            longer = cut(jump.join(up, "to").select("c", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+            last, longer = jump, cut(jump.join(up, "to").select("c", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
             jump = longer.select("c", "to")
+            jump._querylens_at = longer._querylens_at
+            forget(last)
             if not longer.where("moved").take(1):
                 break
-        label = cut(label.join(jump, label.component == jump.c, "left").select("node", F.coalesce("to", "component").alias("component")))
+        last, label = label, cut(label.join(jump, label.component == jump.c, "left").select("node", F.coalesce("to", "component").alias("component")))
+        forget(last, jump)
         la, lb = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        edges = cut(edges.select("a", "b", "w").join(la, "a").join(lb, "b").where("ca != cb"))
+        last, edges = edges, cut(edges.select("a", "b", "w").join(la, "a").join(lb, "b").where("ca != cb"))
+        forget(last)
     smallest = label.groupBy("component").agg(F.min("node").alias("smallest"))
     labels = cut(label.join(smallest, "component").select("node", F.col("smallest").alias("component")))
     tree = forest[0] if forest else base.select("a", "b", "w").limit(0)

@@ -52,7 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _made.add(at)
-    return spark.read.schema(df.schema).parquet(at)
+    written = spark.read.schema(df.schema).parquet(at)
+    written._querylens_at = at
+    return written
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by cut() that nothing will read again, such as those of a finished round."""
+    for df in tables:
+        at = getattr(df, "_querylens_at", None)
+        if at in _made:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _made.discard(at)
 
 
 def join_counted(members: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
