@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from querylens.llm import words
 from querylens.llm.families import name_key, roots
 from querylens.llm.near import near_groups
-from querylens.operators.shared import cut
+from querylens.operators.shared import cut, small
 
 TRAIN, EVALUATION = ["train"], ["dev", "test"]
 SHINGLE = 5
-#: Passages in one automaton, which bounds what is broadcast and what a worker holds.
-SHARD = 300_000
+#: Passages in one automaton and texts that it scans, which bound what a task holds.
+SHARD, CHUNK = 200_000, 50_000
 
 
 def _with_roots(samples: DataFrame, registry: DataFrame) -> DataFrame:
@@ -53,74 +53,54 @@ def report(samples: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as lists of 32-bit word hashes, in order."""
     for batch in words.slices(batches, ("text",)):
         rows, codes, different = words.flat([t or "" for t in batch.column("text").to_pylist()])
-        if len(rows) < SHINGLE:
-            continue
-        h = (words.hashes(different) >> np.uint64(32)).astype(np.uint32)[codes]
-        at = np.arange(len(rows) - SHINGLE + 1)
-        at = at[rows[at] == rows[at + SHINGLE - 1]]
-        begin = np.zeros(batch.num_rows, np.int64)
-        first = words.starts(rows)
-        begin[rows[first]] = first
-        parts = np.stack([h[at + i] for i in range(SHINGLE)], axis=1).view(np.int32) if len(at) else np.zeros((0, SHINGLE), np.int32)
-        of = rows[at]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(of)), batch.column("root_db").take(pa.array(of)), pa.array((at - begin[of]).astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), SHINGLE).cast(pa.list_(pa.int32()))],
-            ["id", "root_db", "place", "passage"],
-        )
-
-
-def _scan(passages):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        array = passages.value
-        for i, p in enumerate(array.view(np.uint32).tolist()):
-            machine.add_word(tuple(p), i)
+        h = (words.hashes(different) >> np.uint64(32)).astype(np.uint32).view(np.int32)[codes] if len(codes) else np.zeros(0, np.int32)
+        ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("family"), batch.column("held"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h))], ["id", "family", "held", "words"])
+
+
+def _scan(passages: pa.Table, texts: pa.Table) -> pa.Table:
+    """The passages (id, place) that stand in one of the texts. One automaton of the different passages, one walk over each
+    text; letters are word hashes, so a passage is five steps deep."""
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    array = passages.column("passage").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).reshape(-1, SHINGLE)
+    kinds, which = np.unique(array, axis=0, return_inverse=True) if len(array) else (array, np.zeros(0, np.int64))
+    for i, p in enumerate(kinds.tolist()):
+        machine.add_word(tuple(p), i)
+    hit = np.zeros(len(kinds), bool)
+    if len(kinds):
         machine.make_automaton()
-        for batch in words.slices(batches, ("text",)):
-            rows, codes, different = words.flat([t or "" for t in batch.column("text").to_pylist()])
-            if not len(rows):
-                continue
-            h = (words.hashes(different) >> np.uint64(32)).astype(np.uint32)[codes].tolist()
-            begin = [*words.starts(rows).tolist(), len(h)]
-            root = batch.column("root_db").to_pylist()
-            hits = set()
-            for lo, hi in zip(begin, begin[1:]):
-                of = root[rows[lo]]
-                hits.update((i, of) for _, i in machine.iter(tuple(h[lo:hi])))
-            if hits:
-                index, of = zip(*hits)
-                yield pa.RecordBatch.from_arrays([pa.array(array[list(index)].tolist(), pa.list_(pa.int32())), pa.array(of, pa.string())], ["passage", "root_db"])
-
-    return run
-
-
-def coverage(samples: DataFrame, registry: DataFrame) -> DataFrame:
+        for chunk in texts.column("words").chunks:
+            flat, ends = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).tolist(), (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()).tolist()
+            for lo, hi in zip(ends, ends[1:]):
+                for _, i in machine.iter(tuple(flat[lo:hi])):
+                    hit[i] = True
+    return passages.select(["id", "place"]).filter(pa.array(hit[which.ravel()]))
+
+
+def coverage(samples: DataFrame, registry: DataFrame, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """Rows (sample_id, split, source, n_words, n_covered) for the dev and test rows of known families.
 
     n_covered counts the words of question and query that stand in five or more words in a row that a train row of the same
-    family holds too. The passages of all evaluation rows are sharded into automata of bounded size; every automaton scans
-    all training texts. Null texts count as empty; rows without an id are left out.
+    family holds too: the union of the matched passages. Passages meet only texts of their family. A family with more
+    passages than fit an automaton, or more texts than a task should scan, is cut into shards and chunks, so no task holds
+    more than one shard and one chunk, however large a family is. Null texts count as empty; rows without an id are left out.
     """
     text = F.concat_ws("\n", F.coalesce("question", F.lit("")), F.coalesce("query", F.lit("")))
-    rows = cut(_with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION) & F.col("sample_id").isNotNull()), registry).select(F.col("sample_id").alias("id"), "root_db", "split", "source", text.alias("text")))
-    held = rows.where(F.col("split").isin(EVALUATION))
-    train = rows.where(F.col("split").isin(TRAIN)).select("root_db", "text")
-    places = cut(held.select("id", "root_db", "text").mapInArrow(_shingles, "id long, root_db string, place int, passage array<int>"))
-    passages = cut(places.select("passage").distinct())
-    shards = max(1, -(-passages.count() // SHARD))
-    hits = None
-    for shard in range(shards):
-        part = passages.where(F.pmod(F.xxhash64("passage"), F.lit(shards)) == shard).toArrow().column("passage").combine_chunks()
-        array = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, SHINGLE).astype(np.int32)
-        found = train.mapInArrow(_scan(samples.sparkSession.sparkContext.broadcast(array)), "passage array<int>, root_db string")
-        hits = found if hits is None else hits.unionByName(found)
-    covered = (
-        places.join(hits.distinct(), ["passage", "root_db"])
-        .select("id", F.explode(F.expr(f"sequence(place, place + {SHINGLE - 1})")).alias("word")).distinct()
-        .groupBy("id").agg(F.count("*").alias("n_covered"))
-    )
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(words.WORD_SQL), F.lit(0))).cast("long")
-    return held.join(covered, "id", "left").select(F.col("id").alias("sample_id"), "split", "source", n.alias("n_words"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
+    rows = _with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION) & F.col("sample_id").isNotNull()), registry)
+    rows = rows.select(F.col("sample_id").cast("long").alias("id"), F.xxhash64("root_db").alias("family"), F.col("split").isin(EVALUATION).alias("held"), text.alias("text"))
+    hashed = cut(rows.mapInArrow(_hashed, "id long, family long, held boolean, words array<int>"))
+    n_passages = F.sum(F.when(F.col("held"), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0))).otherwise(0))
+    sizes = cut(hashed.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(n_passages / shard)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("held")) / chunk)).cast("int").alias("chunks")))
+    sized = hashed.join(small(sizes), "family")
+    places = sized.where(F.col("held") & (F.size("words") >= SHINGLE)).select("id", "family", "shards", "chunks", "words", F.explode(F.expr(f"sequence(0, size(words) - {SHINGLE})")).alias("place")).withColumn("passage", F.expr(f"slice(words, place + 1, {SHINGLE})"))
+    left = places.select("id", "place", "passage", "family", F.pmod(F.xxhash64("passage"), F.col("shards")).cast("int").alias("shard"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
+    right = sized.where(~F.col("held")).select("words", F.col("family").alias("of_family"), F.explode(F.expr("sequence(0, shards - 1)")).alias("of_shard"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("of_chunk"))
+    hits = left.groupBy("family", "shard", "chunk").cogroup(right.groupBy("of_family", "of_shard", "of_chunk")).applyInArrow(_scan, "id long, place int")
+    covered = hits.select("id", F.explode(F.expr(f"sequence(place, place + {SHINGLE - 1})")).alias("word")).distinct().groupBy("id").agg(F.count("*").alias("n_covered"))
+    held = samples.where(F.col("split").isin(EVALUATION)).select(F.col("sample_id").cast("long").alias("id"), "split", "source").distinct()
+    n = hashed.where("held").select("id", F.size("words").cast("long").alias("n_words")).distinct()
+    return n.join(held, "id").join(covered, "id", "left").select(F.col("id").alias("sample_id"), "split", "source", "n_words", F.coalesce("n_covered", F.lit(0)).alias("n_covered"))

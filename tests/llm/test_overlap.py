@@ -19,5 +19,7 @@ def test_overlaps_and_report(spark):
     assert overlaps(df.limit(0), registry).count() == 0
     covered = {r["sample_id"]: (r["n_words"], r["n_covered"]) for r in coverage(df, registry).collect()}
     assert covered == {2: (11, 11), 3: (11, 0), 5: (12, 10), 7: (1, 0)}
+    again = {r["sample_id"]: (r["n_words"], r["n_covered"]) for r in coverage(df, registry, shard=3, chunk=1).collect()}
+    assert again == covered
     assert coverage(df.where("split = 'dev'"), registry).where("n_covered > 0").count() == 0
     assert coverage(df.limit(0), registry).count() == 0
