@@ -74,6 +74,9 @@ COVER = f"""
 
 ORACLE = {
     "p1_found": f"WITH RECURSIVE {GROUPS} SELECT group_id, sample_id FROM grp WHERE group_id <> sample_id",
+    "p1_groups": f"""WITH RECURSIVE {GROUPS}, size AS (SELECT group_id, count(*) AS n FROM grp GROUP BY 1)
+        SELECT sample_id, coalesce(group_id, sample_id) AS group_id, coalesce(n, 1)::BIGINT AS group_size FROM samples LEFT JOIN grp USING (sample_id) LEFT JOIN size USING (group_id)""",
+    "p2_forest": f"WITH RECURSIVE {FAMILY} SELECT DISTINCT least(k, parent) AS a, greatest(k, parent) AS b FROM up WHERE parent IS NOT NULL",
     "p2_found": f"WITH RECURSIVE {FAMILY} SELECT sample_id, root_db FROM samples JOIN fam ON {_key('samples.db_id')} = fam.k WHERE samples.db_id <> root_db",
     "p3_found": f"WITH {RECORDS} SELECT first_id, result_id AS copy_id FROM grp WHERE result_id <> first_id",
     "p3_collapsed": f"WITH {RECORDS} SELECT first_id, count(*) AS copies FROM grp GROUP BY first_id",
@@ -82,6 +85,7 @@ ORACLE = {
         SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM samples LEFT JOIN per USING (sample_id) WHERE split IN ('dev', 'test') GROUP BY split, source""",
     "p5_coverage": f"WITH RECURSIVE {FAMILY}, {COVER} SELECT sample_id, split, source, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_covered FROM tx LEFT JOIN cv USING (sample_id) WHERE split IN ('dev', 'test')",
     "p6_found": f"WITH {P6} SELECT DISTINCT item_id, doc_id FROM dn JOIN n USING (h)",
+    "p6_items": f"WITH {P6}, f AS (SELECT DISTINCT item_id, doc_id FROM dn JOIN n USING (h)) SELECT e.item_id, suite, kind, count(doc_id) AS n_docs FROM eval_items e LEFT JOIN f ON e.item_id = f.item_id GROUP BY ALL",
     "p8_found": f"WITH {P8} SELECT doc_id, span_start, span_end FROM span",
     "p8_shares": f"""WITH {P8}, per AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS n FROM span GROUP BY 1)
         SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars FROM documents LEFT JOIN per USING (doc_id)""",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm import formats, leaks, mixing, near, overlap, spans, splits
+from querylens.llm import families, formats, leaks, mixing, near, overlap, spans, splits
 from querylens.llm.oracle import ORACLE  # noqa: F401
+from querylens.operators.shared import cut, join_counted
 from querylens.sources.tables import table
 
 
@@ -15,6 +16,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("group_id != id").select("group_id", F.col("id").alias("sample_id"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample with its group and the group's size; a sample without alike ones is its own group."""
+    samples = table(spark, d, "samples")
+    groups = cut(near.near_groups(samples, "sample_id", "question", "query"))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    placed = join_counted(groups, cut(sizes), ["group_id"], "group_size").withColumnRenamed("id", "sample_id")
+    return samples.select("sample_id").join(placed, "sample_id", "left").select("sample_id", F.coalesce("group_id", "sample_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = splits.resolved(table(spark, d, "samples"), table(spark, d, "db_registry"), "sample_id", "db_id")
     return rows.where("root_db is not null and written != root_db").select(F.col("id").alias("sample_id"), "root_db")
@@ -25,6 +35,11 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("id").alias("sample_id"), "family", "split")
 
 
+def p2_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest of families, by keys of names."""
+    return families.roots(table(spark, d, "db_registry"))[1].select("a", "b")
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return formats.records(table(spark, d, "sample_results"), table(spark, d, "report_lines"))
 
@@ -53,6 +68,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
 
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents that hold some of it."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return table(spark, d, "eval_items").select("item_id", "suite", "kind").join(found, "item_id", "left").fillna({"n_docs": 0})
+
+
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
 
@@ -77,4 +98,4 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p3_collapsed, p5_found, p5_report, p5_coverage, p6_found, p6_near, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_splits, p2_forest, p3_found, p3_collapsed, p5_found, p5_report, p5_coverage, p6_found, p6_items, p6_near, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
