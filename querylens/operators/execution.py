@@ -6,6 +6,7 @@ cluster, and each result goes to the shared folder as cells. Nothing of a result
 
 from __future__ import annotations
 
+import logging
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +21,7 @@ from querylens.functions.sqltext import SqlError, outermost_order_by
 from querylens.operators.cells import CELLS, SHAPE, stage
 from querylens.operators.shared import _made, shared_dir
 
+log = logging.getLogger("querylens")
 TIMEOUT_S = 30.0
 THREADS = 8
 
@@ -149,7 +151,11 @@ def stage_queries(spark: SparkSession, databases: dict[str, Database], queries:
     _made.add(into)
     with ThreadPoolExecutor(threads) as pool:
         work = inheritable_thread_target(spark)(lambda q: run(databases[q[1][0]], q[1][1], q[0], "", into, q[1][2], timeout_s))
-        outcomes = list(pool.map(work, enumerate(queries)))
+        outcomes = []
+        for outcome in pool.map(work, enumerate(queries)):
+            outcomes.append(outcome)
+            if len(outcomes) % 20 == 0 or len(outcomes) == len(queries):
+                log.info("%d of %d queries", len(outcomes), len(queries))
     staged = any(o.ok and o.n_cols for o in outcomes)
     cells = spark.read.schema(CELLS).parquet(into).drop("query") if staged else spark.createDataFrame([], CELLS)
     counts = cells.where("col_idx = 0").groupBy("sample_id").agg(F.count("*").alias("n_rows"))

@@ -26,7 +26,7 @@ def test_writes_are_refused(database, sql):
         prepared(database, sql)
 
 
-@pytest.mark.parametrize("sql,want", [("SELECT 7 / 2", 3), ("SELECT -7 / 2", -3), ("SELECT 7 / 2.0", 3.5), ("SELECT a / 2 / 1 FROM t WHERE a = 2", 1), ("SELECT 1 / 0", None), ("SELECT count(*) FROM t WHERE b LIKE 'X'", 1), ("SELECT (SELECT max(a) / 2 FROM t)", 1), ("SELECT substr('abc', 0, 2)", "a")])
+@pytest.mark.parametrize("sql,want", [("SELECT 7 / 2", 3), ("SELECT -7 / 2", -3), ("SELECT 7 / 2.0", 3.5), ("SELECT a / 2 / 1 FROM t WHERE a = 2", 1), ("SELECT 1 / 0", None), ("SELECT count(*) FROM t WHERE b LIKE 'X'", 1), ("SELECT (SELECT max(a) / 2 FROM t)", 1), ("SELECT substr('abc', 0, 2)", "a"), ("SELECT CAST('12abc' AS INTEGER)", 12), ("SELECT CAST('abc' AS INT)", 0), ("SELECT CAST(' -1.5e1x' AS REAL)", -15.0), ("SELECT CAST(NULL AS INT)", None), ("SELECT CAST(3.7 AS INT)", 3), ("SELECT CAST(b AS INT) FROM t LIMIT 1", 0)])
 def test_sqlite_meaning(database, sql, want):
     assert prepared(database, sql).first()[0] == want
 
