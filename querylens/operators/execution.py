@@ -19,7 +19,7 @@ from pyspark import inheritable_thread_target
 from querylens.functions.dialect import to_spark
 from querylens.functions.sqltext import SqlError, outermost_order_by
 from querylens.operators.cells import CELLS, SHAPE, stage
-from querylens.operators.shared import _made, shared_dir
+from querylens.operators.shared import _made, cut, shared_dir
 
 log = logging.getLogger("querylens")
 TIMEOUT_S = 30.0
@@ -39,9 +39,11 @@ class Database:
         self.spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         self.names: set[str] = set()
         for name, table in tables.items():
-            df = self.spark.read.parquet(table) if isinstance(table, str) else table
-            if isinstance(table, DataFrame):
-                df = self.spark.read.schema(table.schema).parquet(*table.inputFiles()) if table.inputFiles() else self.spark.createDataFrame(table.collect(), table.schema)
+            if isinstance(table, str):
+                df = self.spark.read.parquet(table)
+            else:  # another session can't see a plan of this one, but it can read a written table
+                written = table if hasattr(table, "_querylens_at") else cut(table)
+                df = self.spark.read.schema(table.schema).parquet(written._querylens_at)
             df.createOrReplaceTempView(name)
             self.names |= {name.lower(), *(c.lower() for c in df.columns)}
 
