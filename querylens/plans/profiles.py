@@ -36,7 +36,7 @@ def profile_numeric_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_stock_age(spark: SparkSession, d: str) -> DataFrame:
     """Over the catalog, with a stored age added to every third table, as the catalog itself has none."""
-    more = _columns(spark, d).where("ord = 0").select("db_id", "table_name", F.when(F.crc32("table_name") % 3 == 0, "player_age").otherwise("Average").alias("column_name"), F.lit(99).alias("ord"), F.lit("INTEGER").alias("decl_type"), F.lit(False).alias("is_pk"), F.lit(None).cast("string").alias("fk_table"))
+    more = _columns(spark, d).where("ord = 0").select("db_id", "table_name", F.when(F.length("table_name") % 3 == 0, "player_age").otherwise("Average").alias("column_name"), F.lit(99).alias("ord"), F.lit("INTEGER").alias("decl_type"), F.lit(False).alias("is_pk"), F.lit(None).cast("string").alias("fk_table"))
     return profile.stock_ages(_columns(spark, d).unionByName(more)).select("db_id", "table_name", "column_name")
 
 
@@ -93,6 +93,9 @@ _DATED = "regexp_matches(column_name, '(?i)^(date|time|timestamp|.*_date|.*_time
 ORACLE = {
     "profile_counts": _counts(),
     "profile_numeric_columns": f"SELECT db_id, table_name, column_name FROM schema_columns WHERE {_NUMERIC} AND NOT coalesce(is_pk, false) AND NOT regexp_matches(column_name, '(?i)(^|_)id$')",
+    "profile_stock_age": f"""WITH c AS (SELECT db_id, table_name, column_name, decl_type FROM schema_columns UNION ALL SELECT db_id, table_name, CASE WHEN length(table_name) % 3 = 0 THEN 'player_age' ELSE 'Average' END, 'INTEGER' FROM schema_columns WHERE ord = 0)
+      SELECT db_id, table_name, column_name FROM c WHERE regexp_matches(column_name, '(?i)(^|_)ages?($|_)') AND {_NUMERIC} AND NOT EXISTS (SELECT 1 FROM c b WHERE b.db_id = c.db_id AND b.table_name = c.table_name AND regexp_matches(b.column_name, '(?i)dob|birth'))""",
+    "literal_neighbours": "SELECT * FROM (VALUES (2::BIGINT, 'nation', 'n_name', 'NATON_7', 'NATION_7,NATION_17,NATION_9'), (4, 'nation', 'n_name', 'NATION 12', 'NATION_12,NATION_2,NATION_1')) v(id, table_name, column_name, value, close)",
     "profile_old_new": "SELECT DISTINCT a.db_id, a.table_name, a.column_name, b.column_name AS base_column FROM schema_columns a JOIN schema_columns b USING (db_id, table_name), (VALUES ('old'), ('prev'), ('last'), ('_old'), ('_prev')) s(x) WHERE lower(a.column_name) = lower(b.column_name) || x",
     "profile_snapshot": f"""WITH t AS (SELECT db_id, table_name, arg_min(column_name, ord) FILTER (WHERE {_DATED}) AS date_column, count(DISTINCT fk_table) AS parents, coalesce(string_agg(column_name, ',' ORDER BY ord) FILTER (WHERE fk_table IS NOT NULL AND NOT coalesce(is_pk, false)), '') AS key_columns FROM schema_columns GROUP BY 1, 2)
       SELECT db_id, table_name, date_column, key_columns FROM t WHERE parents = 1 AND date_column IS NOT NULL AND NOT EXISTS (SELECT 1 FROM schema_columns f WHERE f.db_id = t.db_id AND lower(f.fk_table) = lower(t.table_name))""",
