@@ -73,6 +73,22 @@ def test_many_copies(spark):
     assert passages(df, 100, 40).count() < 3 * len(rows)
 
 
+def test_passages_are_aligned(spark):
+    rows = make(8, n=30, letters="abcdefgh")
+    texts = {r[0]: r[1] for r in rows}
+    df = spark.createDataFrame(rows, DOCS)
+    covered = {}
+    for r in passages(df, 30, 10).collect():
+        mine, other = texts[r["doc_id"]][r["span_start"] : r["span_end"]], texts[r["other_id"]][r["other_start"] : r["other_end"]]
+        assert r["doc_id"] != r["other_id"] and 30 * r["n_parts"] <= r["exact_chars"] <= min(len(mine), len(other))
+        assert mine[:30] == other[:30] and mine[-30:] == other[-30:]
+        if r["n_parts"] == 1:
+            assert mine == other
+        covered.setdefault(r["doc_id"], set()).update(range(r["span_start"], r["span_end"]))
+    for d, lo, hi in brute(rows, 30):
+        assert set(range(lo, hi)) <= covered[d]
+
+
 def test_chains():
     x, y, n = np.array([0, 100, 220, 50]), np.array([10, 130, 240, 500]), np.array([80, 90, 50, 30])
     c = chains(x, y, n)
