@@ -23,8 +23,9 @@ from querylens.operators.shared import cut, join_counted, small
 PART = (17, 20)  # 85 %
 #: Words are counted in so many cells, which bounds what is broadcast to 2**CELLS * 4 bytes.
 CELLS = 20
-#: A word counted more often than this makes a hot bucket.
-HOT = 1024
+#: A word counted more often than this makes a hot bucket, and a bucket with more near pairs than this many a row is a dense
+#: one; both are compared with their words at hand, so that they give a spanning forest and not all their pairs.
+HOT, DENSE = 8192, 8
 BLOCK, TILE = 16384, 256
 
 
@@ -124,30 +125,55 @@ def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs within buckets. Rows of a bucket are ordered by bit count; the comparison runs along diagonals of the
-    bucket's square, all buckets of a piece at once, and a row leaves as soon as bit counts lie beyond the radius."""
-    for table in _buckets(batches, ("key",), 100_000):
-        key, ident, n, s1, s2 = _numbers(table, "key", "id", "n", "s1", "s2")
-        n, s1, s2 = n.astype(np.int32), s1.view(np.uint64), s2.view(np.uint64)
-        ones = np.bitwise_count(s1).astype(np.int32) + np.bitwise_count(s2)
-        order = np.lexsort((ones, key))
-        key, ident, n, s1, s2, ones = (x[order] for x in (key, ident, n, s1, s2, ones))
-        most = widest(n)
-        live, lag, pairs = np.arange(len(key)), 0, []
-        while len(live):
-            lag += 1
-            live = live[live + lag < len(key)]
-            live = live[(key[live] == key[live + lag]) & (ones[live + lag] - ones[live] <= most[live])]
-            other = live + lag
-            apart = np.bitwise_count(s1[live] ^ s1[other]).astype(np.int32) + np.bitwise_count(s2[live] ^ s2[other])
-            fits = (apart <= radius(n[live], n[other])) & (ident[live] != ident[other])
-            if fits.any():
-                x, y = ident[live[fits]], ident[other[fits]]
-                pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
-        if pairs:
-            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+NEAR = "a long, b long, key int, n int, s1 long, s2 long"
+
+
+def _near(dense: int):
+    """Candidate pairs (a, b) within buckets, and for dense buckets their rows (a, key, n, s1, s2) instead.
+
+    Rows of a bucket are ordered by bit count; the comparison runs along diagonals of the bucket's square, all buckets of a
+    piece at once. A row leaves as soon as bit counts lie beyond the radius, a bucket as soon as it is dense."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buckets(batches, ("key",), 100_000):
+            key, ident, n, s1, s2 = _numbers(table, "key", "id", "n", "s1", "s2")
+            n, s1, s2 = n.astype(np.int32), s1.view(np.uint64), s2.view(np.uint64)
+            ones = np.bitwise_count(s1).astype(np.int32) + np.bitwise_count(s2)
+            order = np.lexsort((ones, key))
+            key, ident, n, s1, s2, ones = (x[order] for x in (key, ident, n, s1, s2, ones))
+            begin = words.starts(key)
+            size = np.diff(np.r_[begin, len(key)])
+            bucket = np.repeat(np.arange(len(begin)), size)
+            near, full = np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)
+            most = widest(n)
+            live, lag, found = np.arange(len(key)), 0, []
+            while len(live):
+                lag += 1
+                live = live[live + lag < len(key)]
+                live = live[(bucket[live] == bucket[live + lag]) & (ones[live + lag] - ones[live] <= most[live])]
+                other = live + lag
+                apart = np.bitwise_count(s1[live] ^ s1[other]).astype(np.int32) + np.bitwise_count(s2[live] ^ s2[other])
+                fits = live[(apart <= radius(n[live], n[other])) & (ident[live] != ident[other])]
+                if len(fits):
+                    found.append(np.stack([fits, fits + lag]))
+                    near += np.bincount(bucket[fits], minlength=len(near))
+                    now = near > dense * size
+                    if (now & ~full).any():
+                        full |= now
+                        live = live[~full[bucket[live]]]
+            if found:
+                x, y = np.concatenate(found, axis=1)
+                keep = ~full[bucket[x]]
+                x, y = ident[x[keep]], ident[y[keep]]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                rows = np.flatnonzero(full[bucket])
+                none = lambda m, kind: pa.nulls(m, kind)
+                m, d = both.shape[1], len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int64())], ["a", "b", "key", "n", "s1", "s2"])
+                if d:
+                    yield pa.RecordBatch.from_arrays([pa.array(ident[rows]), none(d, pa.int64()), pa.array(key[rows]), pa.array(n[rows]), pa.array(s1[rows].view(np.int64)), pa.array(s2[rows].view(np.int64))], ["a", "b", "key", "n", "s1", "s2"])
+
+    return run
 
 
 def _near_blocks(tile: int):
@@ -217,7 +243,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
 
 
-def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count: int = HOT, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count: int = HOT, dense: int = DENSE, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Rows (group_id, id) for every row that is alike to another, closed over chains; group_id is the smallest id.
 
     Null texts count as empty; rows without any word and rows with a null id are in no group. An id that is repeated counts
@@ -228,8 +254,9 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count:
     3. Every class goes into the buckets of its rarest words, where sketches are compared.
     4. Pairs within the radius are checked exactly on all words; links are contracted to groups.
 
-    A word that is counted more than hot_count times may make a bucket for more than one task; its rows are laid into pairs
-    of blocks of about `block` rows, which are compared in tiles. The three numbers change the work, never the result.
+    A word that is counted more than hot_count times may make a bucket for more than one task, and a bucket with more than
+    `dense` near pairs a row would give more pairs than rows: the rows of both are laid into pairs of blocks of about `block`
+    rows, which are compared in tiles and proven there. The four numbers change the work, never the result.
     """
     spark = rows.sparkSession
     texts = rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(first).alias("_a"), F.col(second).alias("_b"))
@@ -242,11 +269,14 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count:
     classes = filled.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "s1", "s2", "keys", "hot_keys"), "id").alias("of"), F.min("id").alias("id")).select("id", "of.*")
     entries = classes.select(F.explode("keys").alias("key"), "id", "n", "s1", "s2")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long").distinct())
-    links = _proven(pairs, texts)
-    hot = classes.where(F.size("hot_keys") > 0)
-    if hot.take(1):
-        links = links.unionByName(_hot_links(cut(hot), texts, parts, block, tile))
+    near = cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_near(dense), NEAR))
+    pairs = near.where("b is not null").select("a", "b").distinct()
+    links = _proven(cut(pairs), texts)
+    hot = near.where("b is null").select("key", F.col("a").alias("id"), "n", "s1", "s2")
+    if some := rows_.where("size(hot_keys) > 0").take(1):
+        hot = cut(hot.unionByName(classes.select(F.explode("hot_keys").alias("key"), "id", "n", "s1", "s2")))
+    if some or hot.take(1):
+        links = links.unionByName(_hot_links(hot, texts, parts, block, tile))
     links = cut(links)
     labels = components(links)
     copied = filled.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")
@@ -266,10 +296,9 @@ def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _hot_links(hot: DataFrame, texts: DataFrame, parts: int, block: int, tile: int) -> DataFrame:
-    entries = hot.select(F.explode("hot_keys").alias("key"), "id", "n", "s1", "s2")
+def _hot_links(entries: DataFrame, texts: DataFrame, parts: int, block: int, tile: int) -> DataFrame:
     sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    found = texts.join(hot.select("id"), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
+    found = texts.join(entries.select("id"), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
     blocks = (
         entries.join(small(sizes), "key").join(found, "id")
         .withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -52,7 +52,7 @@ def variants(seed, n, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_count": 3, "block": 7, "tile": 4}])
+@pytest.mark.parametrize("options", [{}, {"hot_count": 3, "block": 7, "tile": 4}, {"dense": 0}, {"dense": 1, "block": 5, "tile": 3}])
 def test_against_all_pairs(spark, options):
     rows = variants(1, 120, [f"w{i}" for i in range(60)] + ["表", "the", "The"])
     assert found(spark, rows, **options) == brute(rows)
