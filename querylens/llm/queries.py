@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm import families, formats, leaks, mixing, near, overlap, spans, splits
+from querylens.llm import families, formats, leaks, mixing, near, overlap, passages, spans, splits
 from querylens.llm.oracle import ORACLE  # noqa: F401
 from querylens.operators.shared import cut, join_counted
 from querylens.sources.tables import table
@@ -95,7 +95,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    return spans.passages(table(spark, d, "documents"))
+    return passages.all_passages(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_splits, p2_forest, p3_found, p3_collapsed, p5_found, p5_report, p5_coverage, p6_found, p6_items, p6_near, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
