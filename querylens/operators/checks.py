@@ -8,6 +8,7 @@ to rows (id, check, ord, issue). Issues are codes with the names concerned.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from querylens.functions.labels import CURRENT, DIFFERENCE, DISPLACED, GIVEN_PER
 from querylens.functions.sqltext import expression_columns
 from querylens.functions.vectorised import vectorised
 from querylens.operators.profile import numeric_columns
-from querylens.operators.shared import small
+from querylens.operators.shared import cut, small
 
 # Conversion constants that the rulebook replaces, and the rule that says so.
 OFF_CONSTANTS = {"0.453592": "K3", "2.20462": "K3", "25.4": "K3", "1.60934": "K3", "365.25": "K2"}
@@ -194,14 +195,32 @@ EXTRA = {"C5b": c5b_anchor_sql, "C6": c6_ratio}
 CONVENTION = {"C7-const": c7_constants, "C7-abs": c7_difference, "C7-dodge": c7_displaced}
 
 
-def validate(rows: DataFrame, catalog: DataFrame, extra: bool = False, convention: bool = False) -> DataFrame:
+#: Gives the stored values of columns, (db_id, table_name, column_name, value, number), for rows (db_id, table_name, column_name).
+Stored = Callable[[DataFrame], DataFrame]
+
+
+def _misspelt(rows: DataFrame, catalog: DataFrame, stored: Stored) -> DataFrame:
+    """Rows (_key, misspelt): issues of text literals that their column lacks but has something like."""
+    literals = cut(equality_literals(rows.dropDuplicates(["_key"]).withColumn("id", C("_key")), catalog))
+    close = neighbours(literals, stored(literals.select("db_id", "table_name", "column_name").distinct()))
+    issue = _issue("C3.unlike_stored", F.concat("table_name", F.lit("."), "column_name"), C("value"), F.array_join("close", ","))
+    return close.groupBy(C("id").alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "column_name", "value", issue.alias("issue")))), lambda x: x["issue"]).alias("misspelt"))
+
+
+def validate(rows: DataFrame, catalog: DataFrame, extra: bool = False, convention: bool = False, stored: Stored | None = None) -> DataFrame:
     """Rows (id, check, ord, issue) for all rules that are switched on; a sample without issues has none.
 
     A query that can't be parsed has the one issue SQL.unparsable and no other. A sheet that can't be read has the one issue
-    REPLY with its error. Null questions say nothing; an unknown db_id has an empty catalog.
+    REPLY with its error. Null questions say nothing; an unknown db_id has an empty catalog. With stored values, C3 ends
+    with the literals that are spelt otherwise than their column has them, in order of column and value; without, it says
+    nothing of literals.
     """
     rules = ALWAYS | (EXTRA if extra else {}) | (CONVENTION if convention else {})
     ready = _expressions(with_catalog(rows, catalog))
+    if stored is not None:
+        ready = ready.withColumn("_key", F.md5(F.to_json(F.struct("id", "db_id", "facts.eq_columns", "facts.eq_values", "facts.eq_strings"))))
+        ready = ready.join(_misspelt(ready.select("_key", "db_id", "facts"), catalog, stored), "_key", "left")
+        rules["C3"] = lambda: F.concat(c3_grounding(), F.coalesce("misspelt", F.expr(NONE)))
     bad = F.when(C("sheet.error").isNotNull(), F.struct(F.lit("REPLY").alias("check"), F.array(_issue("REPLY", C("sheet.error"))).alias("issues"))).when(C("facts.error").isNotNull(), F.struct(F.lit("SQL").alias("check"), F.array(_issue("SQL.unparsable")).alias("issues")))
     found = F.array(*(F.struct(F.lit(name).alias("check"), rule().alias("issues")) for name, rule in rules.items()))
     of = F.explode(F.when(bad.isNotNull(), F.array(bad)).otherwise(found)).alias("of")
@@ -217,13 +236,16 @@ def close_matches(value: pd.Series, pool: pd.Series) -> pd.Series:
 def neighbours(literals: DataFrame, values: DataFrame, pool: int = POOL) -> DataFrame:
     """Rows (id, table_name, column_name, value, close) for text literals that a column lacks but has something like.
 
-    literals: (id, table_name, column_name, value); values: (table_name, column_name, value) with the stored values. Whether
-    a value exists is decided on all values by an anti-join; only the pool for likeness is bounded, to the first
-    values in order. Nulls match nothing.
+    literals: (id, table_name, column_name, value); values: (table_name, column_name, value) with the stored values, and
+    db_id in both if they are of several databases. Whether a value exists is decided on all values by an anti-join; only
+    the pool for likeness is bounded, to the first values in order. Where values have a number, a literal with that number
+    exists, too. Nulls match nothing.
     """
-    keys = ["table_name", "column_name"]
+    keys = [*(["db_id"] if "db_id" in values.columns else []), "table_name", "column_name"]
     distinct = values.where("value is not null").select(*keys, F.col("value").cast("string").alias("value")).distinct()
     lacking = literals.where("value is not null").join(distinct, [*keys, "value"], "left_anti")
+    if "number" in values.columns:
+        lacking = lacking.withColumn("number", F.expr("try_cast(value as double)")).join(values.where("number is not null").select(*keys, "number").distinct(), [*keys, "number"], "left_anti")
     wanted = lacking.select(*keys).distinct()
     from pyspark.sql import Window
 
@@ -233,8 +255,8 @@ def neighbours(literals: DataFrame, values: DataFrame, pool: int = POOL) -> Data
 
 
 def equality_literals(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows (id, table_name, column_name, value) of text literals that a query compares with a column whose name is in exactly
+    """Rows (id, db_id, table_name, column_name, value) of text literals that a query compares with a column whose name is in exactly
     one table of its database."""
     pairs = rows.select("id", "db_id", F.explode(F.arrays_zip("facts.eq_columns", "facts.eq_values", "facts.eq_strings")).alias("p")).where("p.eq_strings")
     alone = catalog.groupBy("db_id", F.lower("column_name").alias("low")).agg(F.count_distinct(F.lower("table_name")).alias("n"), F.min("table_name").alias("table_name"), F.min("column_name").alias("column_name")).where("n = 1")
-    return pairs.withColumn("low", F.lower("p.eq_columns")).join(alone, ["db_id", "low"]).select("id", "table_name", "column_name", F.col("p.eq_values").alias("value"))
+    return pairs.withColumn("low", F.lower("p.eq_columns")).join(alone, ["db_id", "low"]).select("id", "db_id", "table_name", "column_name", F.col("p.eq_values").alias("value"))

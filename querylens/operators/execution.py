@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark import inheritable_thread_target
 
 from querylens.functions.dialect import to_spark
@@ -52,6 +53,37 @@ class Database:
         return {t.name.lower(): {c.lower() for c in self.spark.table(t.name).columns} for t in self.spark.catalog.listTables() if t.isTemporary}
 
 
+def stored_values(spark: SparkSession, databases: dict[str, Database]):
+    """A function from rows (db_id, table_name, column_name) to the different values of these columns, (db_id, table_name,
+    column_name, value, number); number is null but for columns of numbers. Unknown databases, tables and columns have none."""
+    schema = "db_id string, table_name string, column_name string, value string, number double"
+
+    def values(wanted: DataFrame) -> DataFrame:
+        found = spark.createDataFrame([], schema)
+        tables: dict[tuple[str, str], list[str]] = {}
+        for r in wanted.select("db_id", "table_name", "column_name").distinct().collect():
+            tables.setdefault((r["db_id"], r["table_name"]), []).append(r["column_name"])
+        for (db_id, name), columns in tables.items():
+            own = databases[db_id].spark if db_id in databases else None
+            if own is None or name.lower() not in databases[db_id].schema_info():
+                continue
+            df = own.table("`" + name.replace("`", "``") + "`")
+            kinds = {f.name.lower(): f for f in df.schema.fields}
+            cells = []
+            for c in columns:
+                if c.lower() in kinds:
+                    f = kinds[c.lower()]
+                    cell = F.col("`" + f.name.replace("`", "``") + "`")
+                    cells.append(F.struct(F.lit(c).alias("column_name"), cell.cast("string").alias("value"), (cell.cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")).alias("number")))
+            if cells:
+                rows = df.select(F.explode(F.array(*cells)).alias("of")).select("of.*").where("value is not null").distinct()
+                written = cut(rows.select(F.lit(db_id).alias("db_id"), F.lit(name).alias("table_name"), "column_name", "value", "number"))
+                found = found.unionByName(spark.read.schema(schema).parquet(written._querylens_at))
+        return found
+
+    return values
+
+
 def refuse_writes(spark: SparkSession, sql: str) -> None:
     """Raise Refused if the text holds anywhere what isn't a query: commands and parsed statements, also below WITH."""
     jvm = spark._jvm

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.functions.sqltext import extract_sql, sql_facts
-from querylens.operators.checks import validate
+from querylens.operators.checks import Stored, validate
 from querylens.operators.declarations import reply_sheet
+from querylens.operators.execution import stored_values
 from querylens.operators.shared import cut
 
 
@@ -143,19 +144,20 @@ def generate(planned: DataFrame, ask: Replies) -> DataFrame:
     return ask(asked).select("id", "turn", "plan", F.coalesce(extract_sql(F.col("reply")), F.lit("")).alias("sql"))
 
 
-def declare(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant) -> tuple[DataFrame, DataFrame]:
+def declare(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant, stored: Stored | None = None) -> tuple[DataFrame, DataFrame]:
     """(final, rounds): rows (id, sql, passed, n_rounds), and every round (id, round_no, sql, error, issues).
 
     Each sample is asked at most 1 + max_repairs times, until a reply has no issues. The last query that could be read is
     kept even if it fails; it is '' only if no round could be read. All samples that still fail are asked in one pass; the
-    turn of the script is the round. samples: (id, db_id, question, profile_items).
+    turn of the script is the round. samples: (id, db_id, question, profile_items); stored
+    gives the stored values that literals are checked against.
     """
     left = samples.select("id", "db_id", "question", F.expr("cast(array() as array<string>)").alias("profile_items") if not variant.force_considered else F.col("profile_items"))
     rounds = None
     for turn in range(1 + variant.max_repairs):
         asked = left.select("id", F.lit("declare").alias("stage"), F.lit(turn).alias("turn"))
         read = cut(left.join(ask(asked).select("id", "reply"), "id", "left").withColumn("sheet", reply_sheet("reply")).withColumn("sql", F.col("sheet.sql")).withColumn("facts", sql_facts("sql")))
-        found = validate(read, catalog, variant.extra_checks, variant.convention_checks)
+        found = validate(read, catalog, variant.extra_checks, variant.convention_checks, stored)
         issues = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("check", "ord", "issue"))), lambda x: x["issue"]).alias("issues"))
         this = cut(read.select("id", F.lit(turn).alias("round_no"), "sql", F.col("sheet.error").alias("error")).join(issues, "id", "left").withColumn("issues", F.coalesce("issues", F.expr("cast(array() as array<string>)"))))
         rounds = this if rounds is None else rounds.unionByName(this)
@@ -237,7 +239,7 @@ def pipeline(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Vari
     planned = plans(samples, ask, variant)
     each = cut(planned.join(samples, "id").withColumn("cid", F.col("id") * variant.n_plans + F.col("turn")).withColumnsRenamed({"id": "sample", "turn": "candidate"}).withColumnRenamed("cid", "id"))
     if variant.declare:
-        written = declare(each, catalog, ask, variant)[0].select("id", "sql")
+        written = declare(each, catalog, ask, variant, stored_values(samples.sparkSession, databases))[0].select("id", "sql")
     else:
         written = generate(each.select("id", F.lit(0).alias("turn"), "plan"), ask).select("id", "sql")
     candidates = cut(each.join(written, "id").select(F.col("sample").alias("id"), "candidate", "db_id", "plan", "sql"))

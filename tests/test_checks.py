@@ -101,6 +101,16 @@ def test_neighbours(spark):
     assert neighbours(literals, values.limit(0)).count() == 0
 
 
+def test_misspelt_literals_are_issues_of_c3(spark):
+    rows = [(1, "d", "SELECT Name FROM singer WHERE name = 'Balmor'"), (2, "d", "SELECT Name FROM singer WHERE name = 'Bob'"), (3, "e", "SELECT Name FROM singer WHERE name = 'Balmor'"), (4, "d", "SELECT Name FROM singer WHERE age = '20.0' OR name = 'Boby' AND name = 'Balmor'"), (1, "d", "SELECT Name FROM singer")]
+    df = spark.createDataFrame([(*r, "q", json.dumps({"sql": r[2], "declarations": sheet([NAME])}), []) for r in rows], "id long, db_id string, sql string, question string, reply string, profile_items array<string>")
+    values = spark.createDataFrame([("d", "singer", "Name", "Balmoor", None), ("d", "singer", "Name", "Bobby", None), ("d", "singer", "Name", "Bob", None), ("e", "singer", "Name", "Balmor", None), ("d", "singer", "Age", "20", 20.0)], "db_id string, table_name string, column_name string, value string, number double")
+    catalog = spark.createDataFrame(SINGER + [("e", *r[1:]) for r in SINGER], CATALOG)
+    found = validate(df.withColumn("sheet", reply_sheet("reply")).withColumn("facts", sql_facts("sql")), catalog, stored=lambda wanted: values.join(wanted, ["db_id", "table_name", "column_name"], "left_semi"))
+    balmoor = "C3.unlike_stored:singer.Name:Balmor:Balmoor"
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "C3", 0, balmoor), (4, "C3", 0, balmoor), (4, "C3", 1, "C3.unlike_stored:singer.Name:Boby:Bobby,Bob")]
+
+
 def test_profile(spark):
     rows = [
         ("d", "singer", "Age", 0, "INT", False, None), ("d", "singer", "Average", 1, "INT", False, None), ("d", "singer", "Percentage", 2, "REAL", False, None),

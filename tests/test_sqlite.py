@@ -65,6 +65,16 @@ def test_commands(spark, folder, tmp_path, capsys):
         main(["evaluate", "--data", path, "--db-dir", folder, "--pred", "x", "--gold-as-pred"], spark)
 
 
+def test_pipeline_repairs_misspelt_values(spark, folder):
+    path = sqlite.find(folder, "music")
+    catalog, databases = sqlite.catalog(spark, {"music": path}), {"music": sqlite.load(spark, path)}
+    samples = spark.createDataFrame([(1, "music", "who?", [])], "id long, db_id string, question string, profile_items array<string>")
+    replies = [json.dumps({"sql": f"SELECT Name FROM singer WHERE name = '{n}'", "declarations": sheet([NAME])}) for n in ("Balmor", "Balmoor")]
+    ask = generate.scripted(spark.createDataFrame([(1, "declare", i, r) for i, r in enumerate(replies)], "id long, stage string, turn int, reply string"))
+    chosen, _ = generate.pipeline(samples, catalog, ask, generate.VARIANTS["sheet"], databases)
+    assert [r["pred_sql"] for r in chosen.collect()] == ["SELECT Name FROM singer WHERE name = 'Balmoor'"]
+
+
 def test_pipeline(spark, folder):
     path = sqlite.find(folder, "music")
     catalog, databases = sqlite.catalog(spark, {"music": path}), {"music": sqlite.load(spark, path)}
