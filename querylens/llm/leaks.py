@@ -1,9 +1,10 @@
 """Problem 6: held-out passages inside documents.
 
-A window of as many words as an item window is embedded by the walk of Chakraborty, Goldenberg and Koucky: it reads the
+Item windows, and document windows of the same length or, if uneven, up to as many words shorter or longer as edits are allowed, are embedded by the walk of Chakraborty, Goldenberg and Koucky: it reads a
 window once, and at each of three times as many steps puts out the word it stands on and, by a random bit of step and
 word, stays or moves on. Windows at a small edit distance get embeddings at a small Hamming distance, so sampled steps agree; equal windows
-always agree. Each repetition hashes some sampled steps, windows that meet an item's hash are checked word by word.
+always agree. Each repetition hashes some sampled steps, windows that meet an item's hash are checked by
+edit distance, many at once, and what is found word by word.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from querylens.llm import words
 WINDOW = 12
 #: Characters of passages in one block, which bounds what is collected and broadcast; one longer passage is a block itself.
 BLOCK_CHARS = 8_000_000
+#: Pairs of windows that are compared at once.
+CANDIDATES = 100_000
 
 
 def repeats(window: int, edits: int, steps: int, recall: float) -> int:
-    """Repetitions that reach the recall: by the walk's analysis a pair of windows differs in few steps times edits squared."""
+    """Repetitions that reach the recall: a word inserted, dropped or replaced changes up to 6 steps (simulated walks: 5.6 for a
+    word inserted or dropped, 5.2 each for two)."""
     if edits == 0:
         return 1
-    agree = max(0.05, 1 - min(0.95, (2.0 * edits * edits + edits) / (3 * window))) ** steps
+    agree = max(0.05, 1 - min(0.95, 6.0 * edits / (3 * window))) ** steps
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
@@ -38,17 +42,19 @@ def plan(window: int, edits: int, recall: float, seed: int) -> list[np.ndarray]:
     return [np.sort(rng.choice(3 * window, steps, replace=False)) for _ in range(repeats(window, edits, steps, recall))]
 
 
-def walk(h: np.ndarray, at: np.ndarray, window: int, steps: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of the sampled steps of the walks over the windows that begin at these places of h."""
-    moved, key = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+def walks(hashes: np.ndarray, codes: np.ndarray, at: np.ndarray, sizes: range | list[int], steps: np.ndarray, seed: int) -> list[np.ndarray]:
+    """For each size a hash of the sampled steps of the walks over the windows of so many words that begin at these places of
+    codes, which number the hashes. Windows of all sizes move alike; past its end a window has the word 0."""
+    h, last = hashes[codes], len(codes) - 1
+    place, keys = at.copy(), [np.zeros(len(at), np.uint64) for _ in sizes]
     sampled = set(steps.tolist())
     for j in range(int(steps[-1]) + 1):
-        on = h[np.minimum(at + moved, len(h) - 1)]
-        on = np.where(moved < window, on, np.uint64(0))
         if j in sampled:
-            key = words.mix(key * words.GOLD + on + np.uint64(1))
-        moved += ((words.mix(on ^ np.uint64((seed * 1_000_003 + j + 1) * 0x9E3779B9 & (2**64 - 1))) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
-    return key
+            on, moved = h[np.minimum(place, last)], place - at
+            keys = [words.mix(k * words.GOLD + np.where(moved < size, on, np.uint64(0)) + np.uint64(1)) for k, size in zip(keys, sizes)]
+        moves = ((words.mix(hashes ^ np.uint64((seed * 1_000_003 + j + 1) * 0x9E3779B9 & (2**64 - 1))) >> np.uint64(17)) & np.uint64(1)).astype(np.int8)
+        place += np.append(moves[codes], np.int8(0))[np.minimum(place, last + 1)]
+    return keys
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -65,59 +71,87 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def distances(h: np.ndarray, at: np.ndarray, size: int, grams: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
+    """The edit distances of the windows of size words from these places of h and the item windows w, all at once, by hashes
+    of words; any number above most if more than most."""
+    far = np.full(len(at), most + 1, np.int16)
+    row = {j: np.full(len(at), j, np.int16) for j in range(min(size, most) + 1)}
+    mine = {j: h[at + j - 1] for j in range(1, size + 1)}
+    for i in range(1, grams.shape[1] + 1):
+        word, new = grams[w, i - 1], {}
+        for j in range(max(0, i - most), min(size, i + most) + 1):
+            least = np.minimum(row.get(j, far), new.get(j - 1, far)) + np.int16(1)
+            new[j] = least if j == 0 else np.minimum(least, row.get(j - 1, far) + (word != mine[j]))
+        row = new
+    return row.get(size, far)
+
+
 def _items(ids: list[int], passages: list[str], window: int, steps: list[np.ndarray]) -> dict:
     rows, codes, different = words.flat(passages)
-    h = words.hashes(different)[codes] if len(codes) else np.zeros(0, np.uint64)
+    hashes = words.hashes(different)
+    h = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
     at = np.arange(max(0, len(rows) - window + 1))
     at = at[rows[at] == rows[at + window - 1]] if len(at) else at
     keys = []
     for r, s in enumerate(steps):
-        k = walk(h, at, window, s, r) if len(at) else np.zeros(0, np.uint64)
+        k = walks(hashes, codes, at, [window], s, r)[0] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(k, kind="stable")
         keys.append((k[order], order))
-    return {"keys": keys, "ids": np.array(ids, np.int64)[rows[at]] if len(at) else np.zeros(0, np.int64), "windows": [[different[c] for c in codes[p : p + window]] for p in at.tolist()], "known": np.sort(words.hashes(different))}
+    return {"keys": keys, "ids": np.array(ids, np.int64)[rows[at]] if len(at) else np.zeros(0, np.int64), "windows": [[different[c] for c in codes[p : p + window]] for p in at.tolist()], "grams": h[at[:, None] + np.arange(window)], "known": np.sort(words.hashes(different))}
 
 
-def _scan(block, window: int, edits: int, steps: list[np.ndarray]):
+def _scan(block, window: int, edits: int, steps: list[np.ndarray], slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
         known = items["known"]
         for batch in words.slices(batches, ("text",)):
             rows, codes, different = words.flat([t or "" for t in batch.column("text").to_pylist()])
-            if len(rows) < window or not len(items["ids"]):
+            if len(rows) < window - slack or not len(items["ids"]):
                 continue
-            h = words.hashes(different)
-            strange = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
-            h, strange = h[codes], np.r_[0, np.cumsum(strange[codes])]
-            at = np.arange(len(rows) - window + 1)
-            # a word that no item holds costs an edit, so this loses nothing
-            at = at[(strange[at + window] - strange[at] <= edits) & (rows[at] == rows[at + window - 1])]
+            hashes = words.hashes(different)
+            strange = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes
+            h, strange = hashes[codes], np.r_[0, np.cumsum(strange[codes])]
+            sizes = range(max(1, window - slack), window + slack + 1)
+            at = np.arange(len(rows) - sizes[0] + 1)
+            fits = []
+            for size in sizes:
+                end = np.minimum(at + size, len(rows))
+                # a word that no item holds costs an edit, so this loses nothing
+                fits.append((at + size <= len(rows)) & (strange[end] - strange[at] <= edits) & (rows[at] == rows[end - 1]))
+            begin = at[np.any(fits, axis=0)]
+            fits = [f[begin] for f in fits]
             docs = batch.column("id").to_pylist()
             best: dict[tuple[int, int], int] = {}
-            for r, s in enumerate(steps):
+            of_all = ((r, size, begin[fit], mine[fit]) for r, s in enumerate(steps) for size, fit, mine in zip(sizes, fits, walks(hashes, codes, begin, sizes, s, r)))
+            for r, size, at, mine in of_all:
                 keys, order = items["keys"][r]
-                mine = walk(h, at, window, s, r)
                 lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                for x in np.flatnonzero(hi > lo).tolist():
-                    p = int(at[x])
-                    text = None
-                    for w in order[lo[x] : hi[x]].tolist():
-                        pair = (int(items["ids"][w]), docs[rows[p]])
-                        if best.get(pair, edits + 1) == 0:
-                            continue
-                        if text is None:
-                            text = [different[c] for c in codes[p : p + window].tolist()]
-                        d = edit_distance(text, items["windows"][w], edits) if edits else 0 if text == items["windows"][w] else 1
-                        if d <= edits and d < best.get(pair, edits + 1):
-                            best[pair] = d
+                met = np.flatnonzero(hi > lo)
+                size_of = (hi - lo)[met]
+                upto = np.cumsum(size_of)
+                for part in np.split(met, np.searchsorted(upto, np.arange(CANDIDATES, int(upto[-1]) if len(met) else 0, CANDIDATES))):
+                    n = (hi - lo)[part]
+                    x = np.repeat(part, n)
+                    w = order[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)]
+                    d = distances(h, at[x], size, items["grams"], w, edits)
+                    near = np.flatnonzero(d <= edits)
+                    near = near[np.argsort(d[near], kind="stable")]
+                    for i, p, q in zip(d[near].tolist(), at[x[near]].tolist(), w[near].tolist()):
+                        pair = (int(items["ids"][q]), docs[rows[p]])
+                        if i < best.get(pair, edits + 1):
+                            i = edit_distance([different[c] for c in codes[p : p + size].tolist()], items["windows"][q], edits)
+                            if i < best.get(pair, edits + 1):
+                                best[pair] = i
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in best], pa.int64()), pa.array([p[1] for p in best], pa.int64()), pa.array(list(best.values()), pa.int32())], ["item_id", "doc_id", "edits"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, seed: int = 1) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, seed: int = 1, uneven: bool = False) -> DataFrame:
     """Rows (item_id, doc_id, edits): some window of the document is at most so many word edits from a window of the item.
+    Windows of the document have the item windows' length, so a word inserted or dropped costs two edits but at the ends;
+    with uneven, also those up to edits words shorter or longer, so it costs one.
 
     With edits = 0 equal windows always meet, so recall is 1. Passages shorter than the window are in no case, nor are null
     texts and rows without an id; a repeated item_id or doc_id counts as one with all its texts. edits is the least number
@@ -132,6 +166,6 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     for b in range(blocks):
         part = sides.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).toArrow().to_pydict()
         block = documents.sparkSession.sparkContext.broadcast(_items(part["item_id"], part["passage"], window, steps))
-        some = texts.mapInArrow(_scan(block, window, edits, steps), "item_id long, doc_id long, edits int")
+        some = texts.mapInArrow(_scan(block, window, edits, steps, edits if uneven else 0), "item_id long, doc_id long, edits int")
         found = some if found is None else found.unionByName(some)
     return found.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))

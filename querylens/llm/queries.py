@@ -75,7 +75,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1, uneven=True)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -58,6 +58,23 @@ def test_recall_with_edits(spark):
         assert set(got) <= set(want) and len(got) >= 0.9 * len(want) > 5
 
 
+def test_words_inserted_and_dropped(spark):
+    r = random.Random(7)
+    items = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(12)), "c") for i in range(60)]
+    docs = []
+    for i, passage, _ in items:
+        p = passage.split()
+        at = r.randint(1, 10)
+        docs += [(3 * i, " ".join([*p[:at], "new", *p[at:]]), 1, 2), (3 * i + 1, " ".join(p[:at] + p[at + 1 :]), 1, 2), (3 * i + 2, " ".join(["x", *p[:at], "y", *p[at + 1 :], "z"]), 1, 2)]
+    got = found(spark, docs, items, edits=1, uneven=True)
+    assert set(got.values()) == {1} and set(got) <= {(d // 3, d) for d, *_ in docs} and len(got) >= 0.95 * len(docs)
+    docs, items = make(3)
+    words = {i: p.lower().split() for i, p, _ in items}
+    want = {(i, d) for i, p in words.items() for d, t, *_ in docs for t in [t.lower().split(", ")] for a in range(len(p) - 11) for n in (11, 12, 13) for b in range(len(t) - n + 1) if edit_distance(t[b : b + n], p[a : a + 12], 1) <= 1}
+    got = set(found(spark, docs, items, edits=1, uneven=True))
+    assert got <= want and len(got) >= 0.95 * len(want) > 5
+
+
 def test_odd_rows(spark):
     twelve = "a b c d e f g h i j k l"
     docs = [(1, None, 0, 0), (2, "", 0, 0), (3, twelve.replace(" ", "\n--\n"), 0, 0), (None, twelve, 0, 0), (4, "x " * 300_000 + twelve, 0, 0), (5, twelve[:-2], 0, 0), (3, "z", 0, 0)]
