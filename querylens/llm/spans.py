@@ -6,8 +6,8 @@ of equal text in two documents are matches at once. Where documents share a seed
 are cut into blocks of windows by their distance from the seed, and a block whose core (what all its windows hold) is in no
 other document is done with; where cores agree but blocks differ, only there, single windows are compared. No group is paired with itself: every occurrence is matched with one occurrence in another document
 (the first or the last by document), which is enough for knowing what is shared. Matches of two documents are joined on
-their diagonals, chained in order with gap costs through a Fenwick tree, and the chains aligned to passages; what is shared
-word for word is the union of the exact parts of all chains.
+their diagonals; what is shared word for word is the union of these, which chains can neither add to nor take from. For
+passages they are chained in order with gap costs through a Fenwick tree.
 """
 
 from __future__ import annotations
@@ -219,8 +219,8 @@ def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray, gap: float = 0.05) -> np
     return chain
 
 
-def _segments(table: pa.Table, least: int):
-    """Exact segments (doc, other, x, y, length, chain) of matches that are complete by doc."""
+def _segments(table: pa.Table, least: int, chained: bool = True):
+    """Exact segments (doc, other, x, y, length, chain) of matches that are complete by doc; without chains all are 0."""
     doc, lo, hi, other, other_lo = (table.column(c).to_numpy() for c in ("doc", "lo", "hi", "other", "other_lo"))
     lo, end, shift = lo.astype(np.int64), hi.astype(np.int64) + least, other_lo.astype(np.int64) - lo
     order = np.lexsort((lo, shift, other, doc))
@@ -234,8 +234,8 @@ def _segments(table: pa.Table, least: int):
     stop = reach[np.r_[s[1:], len(doc)] - 1] - part[s] * far
     doc, other, x, y, n = doc[s], other[s], lo[s], lo[s] + shift[s], stop - lo[s]
     chain = np.zeros(len(s), np.int64)
-    pair = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])]) if len(s) else s
-    for a, b in zip(pair, np.r_[pair[1:], len(s)]):
+    pair = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])]) if len(s) and chained else s[:0]
+    for a, b in zip(pair, np.r_[pair[1:], len(s)][: len(pair)]):
         if b - a > 1:
             chain[a:b] = chains(x[a:b], y[a:b], n[a:b])
     return doc, other, x, y, n, chain
@@ -244,7 +244,7 @@ def _segments(table: pa.Table, least: int):
 def _stretches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _buckets(batches, ("doc",), 50_000):
-            doc, _, x, _, n, _ = _segments(table, least)
+            doc, _, x, _, n, _ = _segments(table, least, chained=False)
             order = np.lexsort((x, doc))
             doc, x, end = doc[order], x[order], (x + n)[order]
             new = np.r_[True, doc[1:] != doc[:-1]]

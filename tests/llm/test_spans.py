@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from querylens.llm import spans
 from querylens.llm.spans import chains, passages, shared_spans, shares
 
 DOCS = "doc_id long, text string, doc string, seed int"
@@ -89,6 +91,16 @@ def test_passages_are_aligned(spark):
         assert set(range(lo, hi)) <= covered[d]
 
 
+def test_spans_need_no_chains(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(spans, "chains", never)
+    table = pa.table({c: pa.array(v, pa.int64()) for c, v in {"doc": [1, 1], "lo": [0, 90], "hi": [10, 95], "other": [2, 2], "other_lo": [5, 200]}.items()})
+    got = [b.to_pydict() for b in spans._stretches(30)(iter(table.to_batches()))]
+    assert got == [{"doc_id": [1, 1], "span_start": [0, 90], "span_end": [40, 125]}]
+
+
 def test_chains():
     x, y, n = np.array([0, 100, 220, 50]), np.array([10, 130, 240, 500]), np.array([80, 90, 50, 30])
     c = chains(x, y, n)
