@@ -55,7 +55,7 @@ def declaration_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def check_issues(spark: SparkSession, d: str) -> DataFrame:
-    """All checks on the final query and last sheet of every trace, but C3n: the databases of the traces have no stored values here."""
+    """All checks on the final query and last sheet of every trace, but C3n: the databases of the traces have no stored values here, and C5a, as there are no counts to prove profile items by."""
     rows = _measured(spark, d).where("declarations is not null")
     rows = rows.withColumn("facts", sqltext.sql_facts("sql")).withColumn("sheet", declared_sheet("declarations")).withColumn("profile_items", F.expr("cast(array() as array<string>)"))
     return validate(rows, table(spark, d, "schema_columns"), extra=True, convention=True).select(F.col("id").alias("trace_id"), "check", "ord", "issue")
