@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylens.operators.graph import boruvka
+from querylens.llm.graph import boruvka
 from querylens.operators.shared import cut
 
 

@@ -3,8 +3,9 @@
 Two rows are alike if the words they share, counted with repeats, are at least 17/20 of the words of the longer one.
 With I shared words of a and b ones that means a + b - 2 I <= radius(a, b), and the bits in which two parity sketches
 differ are never more than a + b - 2 I. So comparing sketches by exclusive-or and bit count loses no pair, as little as
-skipping pairs whose own bit counts are further apart than the radius. Rows are laid into buckets by the words that any
-alike partner must share one of (prefix filtering by a counted order), so no row meets all others.
+skipping tiles whose own bit counts are further apart than the radius. Rows are laid into buckets that any alike partner
+must share (prefix filtering by a counted order): a rare word is a bucket, frequent words are buckets in pairs. So buckets
+stay small however often the words of a fixed vocabulary come back.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm import words
-from querylens.operators.graph import components
-from querylens.operators.shared import cut, join_counted, small
+from querylens.llm.graph import components
+from querylens.operators.shared import cut, forget, join_counted
 
 PART = (17, 20)  # 85 %
 #: Words are counted in so many cells, which bounds what is broadcast to 2**CELLS * 4 bytes.
 CELLS = 20
-#: A word counted more often than this makes a hot bucket, and a bucket with more near pairs than this many a row is a dense
-#: one; both are compared with their words at hand, so that they give a spanning forest and not all their pairs.
-HOT, DENSE = 8192, 8
-BLOCK, TILE = 16384, 256
+#: A word counted at most so often is a bucket by itself, so no such bucket is larger.
+RARE = 1024
+#: Rows of more words make no pairs of words, whose number grows with the square.
+LONG = 256
+#: Rows of one cell of a bucket, rows of a tile, and near pairs a row from which a cell is dense: its links are proven where they
+#: are found, so that they give a spanning forest and not all pairs.
+BLOCK, TILE, DENSE = 16384, 16, 8
+_PAIRS_AT_ONCE = 1 << 20
 
 
 def least_shared(longer: np.ndarray) -> np.ndarray:
@@ -42,51 +47,96 @@ def widest(n: np.ndarray) -> np.ndarray:
     return 2 * n * (PART[1] - PART[0]) // PART[1]
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
+def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [f"{a or ''}\n{b or ''}" for a, b in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(1 << CELLS, np.int64)
     for batch in words.slices(batches, ("_a", "_b")):
-        _, codes, different = words.flat(_texts(batch))
+        _, codes, different = words.flat(texts_of(batch))
         cells = (words.hashes(different) >> np.uint64(64 - CELLS)).astype(np.int64)
         np.add.at(n, cells, np.bincount(codes, minlength=len(different)))
     cell = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
 
 
-def _describe(counts, limit: int):
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How often the words of all rows (_a, _b) fall into each of 2**CELLS cells."""
+    counted = texts.mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(1 << CELLS, np.int64)
+    count[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    return np.minimum(count, 2**31 - 1).astype(np.int32)
+
+
+def in_order(texts: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text by one order of all words, rare ones first: text, hash of (word, how often it came before) and count."""
+    rows, codes, different = words.flat(texts)
+    h = words.hashes(different)
+    often = count[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
+    place = np.empty(len(h), np.int64)
+    place[np.lexsort((h, often))] = np.arange(len(h))
+    rows, codes, nth = words.ordered(rows, codes, place) if len(rows) else (rows, codes, codes)
+    return rows, words.hashed(h[codes], nth), often[codes]
+
+
+def sketches(rows: np.ndarray, t: np.ndarray, m: int) -> dict[str, np.ndarray]:
+    """By text the sums k1, k2 of its words' hashes and the parity sketch s1, s2, two times 64 bits."""
+    out = {k: np.zeros(m, np.uint64) for k in ("k1", "k2", "s1", "s2")}
+    if len(rows):
+        begin = words.starts(rows)
+        full = rows[begin]
+        other = words.mix(t ^ np.uint64(0x5851F42D4C957F2D))
+        out["k1"][full], out["k2"][full] = np.add.reduceat(t, begin), np.add.reduceat(other, begin)
+        bit = np.uint64(1) << (other & np.uint64(63))
+        side = (other >> np.uint64(6)) & np.uint64(1)
+        out["s1"][full] = np.bitwise_xor.reduceat(np.where(side == 0, bit, np.uint64(0)), begin)
+        out["s2"][full] = np.bitwise_xor.reduceat(np.where(side == 1, bit, np.uint64(0)), begin)
+    return out
+
+
+def _keys(rows: np.ndarray, t: np.ndarray, often: np.ndarray, n: np.ndarray, rare: int, long: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each row: (row, key) of rare words, and of pairs of others, whose size nothing bounds.
+
+    Alike rows share one of the first n - least_shared(n) + 1 words, and two of the first n - least_shared(n) + 2. If the
+    first word they share is rare, they meet there; if not, the first two are both frequent, and they meet on these. Rows
+    of up to `long` words meet on pairs, longer ones on single words, and rows from 17/20 of `long` on do both, so no
+    pair falls between."""
+    begin = words.starts(rows)
+    at = np.arange(len(rows)) - np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
+    first = n - least_shared(n) + 1
+    head = at < first[rows]
+    few = head & (often <= rare)
+    lone = head & (often > rare) & (n[rows] * PART[1] > long * PART[0])
+    of, key = [rows[lone]], [words.mix(t[lone] ^ np.uint64(0x2545F4914F6CDD1D))]
+    i = np.flatnonzero((at < first[rows] + 1) & (often > rare) & (n[rows] <= long))
+    lag = 0
+    while len(i):
+        lag += 1
+        i = i[i + lag < len(rows)]
+        i = i[(rows[i + lag] == rows[i]) & (at[i + lag] <= first[rows[i]])]
+        of.append(rows[i])
+        key.append(words.mix(t[i] * words.GOLD + t[i + lag]))
+    return (rows[few], t[few]), (np.concatenate(of), np.concatenate(key))
+
+
+def _listed(of: np.ndarray, x: np.ndarray, m: int) -> pa.ListArray:
+    order = np.argsort(of, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=m))].astype(np.int32)), pa.array(x[order].view(np.int64)))
+
+
+def _describe(counts, rare: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
         for batch in words.slices(batches, ("_a", "_b")):
-            rows, codes, different = words.flat(_texts(batch))
-            h = words.hashes(different)
-            often = count[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
-            place = np.empty(len(h), np.int64)
-            place[np.lexsort((h, often))] = np.arange(len(h))  # one order of all words, rare ones first
-            rows, codes, nth = words.ordered(rows, codes, place) if len(rows) else (rows, codes, codes)
-            t, often = words.hashed(h[codes], nth), often[codes]
-            n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
-            begin = words.starts(rows)
-            full = np.flatnonzero(n)
-            out = {k: np.zeros(batch.num_rows, np.uint64) for k in ("k1", "k2", "s1", "s2")}
-            if len(full):
-                other = words.mix(t ^ np.uint64(0x5851F42D4C957F2D))
-                out["k1"][full], out["k2"][full] = np.add.reduceat(t, begin), np.add.reduceat(other, begin)
-                bit = np.uint64(1) << (other & np.uint64(63))
-                side = (other >> np.uint64(6)) & np.uint64(1)
-                out["s1"][full] = np.bitwise_xor.reduceat(np.where(side == 0, bit, np.uint64(0)), begin)
-                out["s2"][full] = np.bitwise_xor.reduceat(np.where(side == 1, bit, np.uint64(0)), begin)
-            first = np.arange(len(t)) - np.repeat(begin, n[full]) < (n - least_shared(n) + 1)[rows]
-            key, of, hot = (t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), rows[first], often[first] > limit
-            lists = []
-            for keep in (~hot, hot):
-                ends = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=batch.num_rows))].astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(key[keep])))
+            m = batch.num_rows
+            rows, t, often = in_order(texts_of(batch), count)
+            n = np.bincount(rows, minlength=m).astype(np.int64)
+            out = sketches(rows, t, m)
+            keys = _keys(rows, t, often, n, rare, long) if len(rows) else ((rows, t), (rows, t))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), *(pa.array(out[k].view(np.int64)) for k in ("s1", "s2")), *lists],
-                ["id", "k1", "k2", "n", "s1", "s2", "keys", "hot_keys"],
+                [batch.column("id"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), *(pa.array(out[k].view(np.int64)) for k in ("s1", "s2")), *(_listed(*k, m) for k in keys)],
+                ["id", "k1", "k2", "n", "s1", "s2", "keys", "open_keys"],
             )
 
     return run
@@ -94,16 +144,16 @@ def _describe(counts, limit: int):
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.slices(batches, ("_a", "_b")):
-        rows, t = words.tokens(_texts(batch))
-        ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(t.view(np.int64)))], ["id", "tokens"])
+        rows, t = words.tokens(texts_of(batch))
+        t = t[np.lexsort((t, rows))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), _listed(rows, t, batch.num_rows)], ["id", "tokens"])
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+def buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
     """Whole buckets of sorted batches, at least so many rows at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -125,125 +175,152 @@ def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-NEAR = "a long, b long, key int, n int, s1 long, s2 long"
-
-
-def _near(dense: int):
-    """Candidate pairs (a, b) within buckets, and for dense buckets their rows (a, key, n, s1, s2) instead.
-
-    Rows of a bucket are ordered by bit count; the comparison runs along diagonals of the bucket's square, all buckets of a
-    piece at once. A row leaves as soon as bit counts lie beyond the radius, a bucket as soon as it is dense."""
+def tiles(cell: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, tile: int, apart: np.ndarray | None = None, dense: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, full): pairs of rows of one cell whose sketches lie within the radius, and by cell whether it is dense.
+
+    Rows are sorted by cell and bit count and cut into tiles of so many rows, whatever the cells. Each tile is compared with
+    itself and those behind it, all tiles at once, by exclusive-or and bit count; a tile stops at the end of its last cell
+    and where bit counts lie beyond the radius. Rows with one number in `apart` aren't compared. A cell with more than
+    `dense` near pairs a row is dense; its pairs are left out."""
+    size = np.bincount(cell)
+    near, full = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+    ones = np.bitwise_count(s1).astype(np.int32) + np.bitwise_count(s2)
+    order = np.lexsort((ones, cell))
+    order = order[size[cell[order]] > 1]
+    if not len(order):
+        return order, order, full
+    pad = -len(order) % tile
+    whole = np.r_[order, np.full(pad, order[-1])].reshape(-1, tile)
+    real = np.r_[np.ones(len(order), bool), np.zeros(pad, bool)].reshape(-1, tile)
+    c, o, most = cell[whole], ones[whole], widest(n[whole]).max(axis=1)
+    a, b = s1[whole], s2[whole]
+    live, lag, found = np.arange(len(whole)), 0, []
+    upper = np.triu(np.ones((tile, tile), bool), 1)
+    while len(live):
+        other = live + lag
+        if lag:
+            live, other = live[other < len(whole)], other[other < len(whole)]
+            keep = (c[live, -1] == c[other, 0]) & (o[other, 0] - o[live, -1] <= most[live]) & ~full[c[live, -1]]
+            live, other = live[keep], other[keep]
+        for lo in range(0, len(live), max(1, _PAIRS_AT_ONCE // (tile * tile))):
+            p, q = (x[lo : lo + max(1, _PAIRS_AT_ONCE // (tile * tile))] for x in (live, other))
+            differ = np.bitwise_count(a[p][:, :, None] ^ a[q][:, None, :]) + np.bitwise_count(b[p][:, :, None] ^ b[q][:, None, :])
+            fits = (differ <= np.minimum(most[p], 255).astype(np.uint8)[:, None, None]) & (c[p][:, :, None] == c[q][:, None, :])
+            i, u, v = np.nonzero(fits if lag else fits & upper)
+            x, y = whole[p[i], u], whole[q[i], v]
+            good = real[p[i], u] & real[q[i], v] & (differ[i, u, v] <= radius(n[x], n[y]))
+            if apart is not None:
+                good &= apart[x] != apart[y]
+            if good.any():
+                found.append(np.stack([x[good], y[good]]))
+                if dense is not None:
+                    near += np.bincount(cell[x[good]], minlength=len(near))
+                    full |= near > dense * size
+        lag += 1
+    x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    keep = ~full[cell[x]]
+    return x[keep], y[keep], full
+
+
+NEAR = "a long, b long, key long, cell long, n int, s1 long, s2 long, label long"
+
+
+def _near(dense: int, tile: int):
+    """Candidate pairs (a, b) within the cells of buckets; for dense cells their rows (a, key, cell, n, s1, s2, label) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches, ("key",), 100_000):
-            key, ident, n, s1, s2 = _numbers(table, "key", "id", "n", "s1", "s2")
-            n, s1, s2 = n.astype(np.int32), s1.view(np.uint64), s2.view(np.uint64)
-            ones = np.bitwise_count(s1).astype(np.int32) + np.bitwise_count(s2)
-            order = np.lexsort((ones, key))
-            key, ident, n, s1, s2, ones = (x[order] for x in (key, ident, n, s1, s2, ones))
-            begin = words.starts(key)
-            size = np.diff(np.r_[begin, len(key)])
-            bucket = np.repeat(np.arange(len(begin)), size)
-            near, full = np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)
-            most = widest(n)
-            live, lag, found = np.arange(len(key)), 0, []
-            while len(live):
-                lag += 1
-                live = live[live + lag < len(key)]
-                live = live[(bucket[live] == bucket[live + lag]) & (ones[live + lag] - ones[live] <= most[live])]
-                other = live + lag
-                apart = np.bitwise_count(s1[live] ^ s1[other]).astype(np.int32) + np.bitwise_count(s2[live] ^ s2[other])
-                fits = live[(apart <= radius(n[live], n[other])) & (ident[live] != ident[other])]
-                if len(fits):
-                    found.append(np.stack([fits, fits + lag]))
-                    near += np.bincount(bucket[fits], minlength=len(near))
-                    now = near > dense * size
-                    if (now & ~full).any():
-                        full |= now
-                        live = live[~full[bucket[live]]]
-            if found:
-                x, y = np.concatenate(found, axis=1)
-                keep = ~full[bucket[x]]
-                x, y = ident[x[keep]], ident[y[keep]]
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                rows = np.flatnonzero(full[bucket])
-                none = lambda m, kind: pa.nulls(m, kind)
-                m, d = both.shape[1], len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int64())], ["a", "b", "key", "n", "s1", "s2"])
-                if d:
-                    yield pa.RecordBatch.from_arrays([pa.array(ident[rows]), none(d, pa.int64()), pa.array(key[rows]), pa.array(n[rows]), pa.array(s1[rows].view(np.int64)), pa.array(s2[rows].view(np.int64))], ["a", "b", "key", "n", "s1", "s2"])
+        none = lambda m, kind: pa.nulls(m, kind)
+        for table in buckets(batches, ("key", "cell"), 100_000):
+            key, part, ident, label, n, s1, s2 = _numbers(table, "key", "cell", "id", "label", "n", "s1", "s2")
+            order = np.lexsort((part, key))
+            key, part, ident, label, n, s1, s2 = (v[order] for v in (key, part, ident, label, n.astype(np.int32), s1.view(np.uint64), s2.view(np.uint64)))
+            cell = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) - 1
+            x, y, full = tiles(cell, n, s1, s2, tile, label, dense)
+            if len(x):
+                both = np.unique(np.stack([np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y])]), axis=1)
+                m = both.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int32()), *(none(m, pa.int64()) for _ in range(3))], [c.split()[0] for c in NEAR.split(", ")])
+            rows = np.flatnonzero(full[cell])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(ident[rows]), none(len(rows), pa.int64()), *(pa.array(v[rows]) for v in (key, part, n)), *(pa.array(v[rows].view(np.int64)) for v in (s1, s2)), pa.array(label[rows])], [c.split()[0] for c in NEAR.split(", ")])
 
     return run
 
 
-def _near_blocks(tile: int):
-    """The same for pairs of blocks of a hot bucket, tile by tile. Words travel along, so links are proven here and only a
-    spanning forest of each pair of blocks leaves."""
-    return lambda batches: _tiles(batches, tile)
+class _Trees:
+    """What a task has linked so far; rows of one tree need no further proof."""
 
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
-    root: dict[int, int] = {}  # what this task has linked so far; rows of one tree need no further proof
-
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        root = self.root
         while root.setdefault(x, x) != x:
             root[x] = x = root[root[x]]
         return x
 
-    def tops(x: np.ndarray) -> np.ndarray:
-        return np.fromiter(map(top, x.tolist()), np.int64, len(x))
-
-    for table in _buckets(batches, ("key", "i", "j"), 1):
-        key, i, j, side, ident, n, s1, s2 = _numbers(table, "key", "i", "j", "side", "id", "n", "s1", "s2")
-        sets = [None] * len(key)
-        lists = table.column("tokens").combine_chunks()
-        s = np.stack([s1.view(np.uint64), s2.view(np.uint64)])
-        ones, n = np.bitwise_count(s).sum(axis=0).astype(np.int32), n.astype(np.int32)
-        cells = np.stack([key.astype(np.int64), i.astype(np.int64), j.astype(np.int64)])
-        begin = np.flatnonzero(np.r_[True, (cells[:, 1:] != cells[:, :-1]).any(axis=0)])
-        links: list[tuple[int, int]] = []
-
-        def alike(x: int, y: int) -> bool:
-            for z in (x, y):
-                if sets[z] is None:
-                    sets[z] = frozenset(lists[z].as_py())
-            return PART[1] * len(sets[x] & sets[y]) >= PART[0] * max(n[x], n[y])
-
-        for lo, hi in zip(begin, np.r_[begin[1:], len(key)]):
-            at = lo + np.argsort(ones[lo:hi], kind="stable")
-            left, right = at[side[at] == i[lo]], at[side[at] == j[lo]]
-            for p in range(0, len(left), tile):
-                a = left[p : p + tile]
-                ta = tops(ident[a])
-                for q in range(0, len(right), tile):
-                    b = right[q : q + tile]
-                    far = int(max(widest(n[a]).max(), widest(n[b]).max()))
-                    if ones[b[0]] - ones[a[-1]] > far or ones[a[0]] - ones[b[-1]] > far:
-                        continue
-                    tb = tops(ident[b])
-                    apart_tree = ta[:, None] != tb
-                    if not apart_tree.any():
-                        continue
-                    apart = np.bitwise_count(s[0, a][:, None] ^ s[0, b]).astype(np.int32) + np.bitwise_count(s[1, a][:, None] ^ s[1, b])
-                    near = (apart <= radius(n[a][:, None], n[b])) & apart_tree
-                    for u in np.flatnonzero(near.any(axis=1)).tolist():
-                        x, mine = int(a[u]), top(int(ident[a[u]]))
-                        todo = np.flatnonzero(near[u] & (tb != mine)).tolist()
-                        for v in todo:
-                            y = int(b[v])
-                            if (other := top(int(ident[y]))) == mine or not alike(x, y):
+    def tops(self, x: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.top, x.tolist()), np.int64, len(x))
+
+
+def _forest(tile: int):
+    """Links of a spanning forest of each dense cell, whose rows carry their words: tiles are compared as in tiles(), pairs of
+    rows of one tree are passed over, and all near ones of a row are proven at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = _Trees()
+        for table in buckets(batches, ("key", "cell"), 1):
+            key, part, ident, label, n, s1, s2 = _numbers(table, "key", "cell", "id", "label", "n", "s1", "s2")
+            lists = table.column("tokens").combine_chunks()
+            flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            s = np.stack([s1.view(np.uint64), s2.view(np.uint64)])
+            ones, n = np.bitwise_count(s).sum(axis=0).astype(np.int32), n.astype(np.int32)
+            for x, t in zip(ident.tolist(), label.tolist()):  # rows that earlier links have joined
+                p, q = trees.top(x), trees.top(t)
+                trees.root[p] = q
+            links: list[np.ndarray] = []
+            order = np.lexsort((ones, part, key))
+            begin = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])])
+            for lo, hi in zip(begin, np.r_[begin[1:], len(key)]):
+                rows = order[lo:hi]
+                for p in range(0, len(rows), tile):
+                    a = rows[p : p + tile]
+                    ta = trees.tops(ident[a])
+                    for q in range(p, len(rows), tile):
+                        b = rows[q : q + tile]
+                        if ones[b[0]] - ones[a[-1]] > widest(n[a]).max():
+                            break
+                        tb = trees.tops(ident[b])
+                        other = ta[:, None] != tb
+                        if not other.any():
+                            continue
+                        differ = np.bitwise_count(s[0, a][:, None] ^ s[0, b]).astype(np.int32) + np.bitwise_count(s[1, a][:, None] ^ s[1, b])
+                        near = (differ <= radius(n[a][:, None], n[b])) & other
+                        for u in np.flatnonzero(near.any(axis=1)).tolist():
+                            x = int(a[u])
+                            y = b[np.flatnonzero(near[u] & (tb != trees.top(int(ident[x]))))]
+                            if not len(y):
                                 continue
-                            root[other] = mine
-                            links.append((int(ident[x]), int(ident[y])))
-                        if links:
-                            tb = np.where(np.isin(tb, np.unique(tb[todo])), tops(ident[b]), tb) if todo else tb
-                    ta = tops(ident[a])
-        if links:
-            both = np.array(links, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
+                            mine = flat[at[x] : at[x + 1]]
+                            size = at[y + 1] - at[y]
+                            theirs = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[y], size)]
+                            shared = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs, np.cumsum(size) - size)
+                            y = y[PART[1] * shared >= PART[0] * np.maximum(n[x], n[y])]
+                            for z in ident[y].tolist():
+                                if (r := trees.top(z)) != (mine_top := trees.top(int(ident[x]))):
+                                    trees.root[r] = mine_top
+                                    links.append((int(ident[x]), z))
+                            if len(y):
+                                tb = trees.tops(ident[b])
+                        ta = trees.tops(ident[a])
+            if links:
+                both = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
+
+    return run
 
 
-def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count: int = HOT, dense: int = DENSE, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+def near_groups(rows: DataFrame, ident: str, first: str, second: str, rare: int = RARE, long: int = LONG, dense: int = DENSE, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Rows (group_id, id) for every row that is alike to another, closed over chains; group_id is the smallest id.
 
     Null texts count as empty; rows without any word and rows with a null id are in no group. An id that is repeated counts
@@ -251,43 +328,63 @@ def near_groups(rows: DataFrame, ident: str, first: str, second: str, hot_count:
 
     1. Words are counted over all rows into a bounded table, which only sets the order of words: any order is exact.
     2. Rows with the same words are one class (128-bit key), so copies cost nothing from here on.
-    3. Every class goes into the buckets of its rarest words, where sketches are compared.
+    3. Every class goes into its buckets, see _keys. Buckets of pairs of words are counted and cut into cells of about
+       `block` rows. Cells are compared in tiles; dense ones once more, with their words at hand.
     4. Pairs within the radius are checked exactly on all words; links are contracted to groups.
+    5. If buckets were cut, their rows are compared across cells as far as they aren't in one group by then: the largest
+       group's cells with those of all others, and the others with each other. So near-alike rows by the million cost
+       one comparison in their cell and none across.
 
-    A word that is counted more than hot_count times may make a bucket for more than one task, and a bucket with more than
-    `dense` near pairs a row would give more pairs than rows: the rows of both are laid into pairs of blocks of about `block`
-    rows, which are compared in tiles and proven there. The four numbers change the work, never the result.
+    The five numbers change the work, never the result.
     """
     spark = rows.sparkSession
     texts = rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(first).alias("_a"), F.col(second).alias("_b"))
-    counted = texts.mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(1 << CELLS, np.int64)
-    count[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(np.minimum(count, 2**31 - 1).astype(np.int32))
-    rows_ = cut(texts.mapInArrow(_describe(shared, hot_count), "id long, k1 long, k2 long, n int, s1 long, s2 long, keys array<int>, hot_keys array<int>"))
+    shared = spark.sparkContext.broadcast(word_counts(texts))
+    rows_ = cut(texts.mapInArrow(_describe(shared, rare, long), "id long, k1 long, k2 long, n int, s1 long, s2 long, keys array<long>, open_keys array<long>"))
     filled = rows_.where("n > 0")
-    classes = filled.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "s1", "s2", "keys", "hot_keys"), "id").alias("of"), F.min("id").alias("id")).select("id", "of.*")
-    entries = classes.select(F.explode("keys").alias("key"), "id", "n", "s1", "s2")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = cut(entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_near(dense), NEAR))
-    pairs = near.where("b is not null").select("a", "b").distinct()
-    links = _proven(cut(pairs), texts)
-    hot = near.where("b is null").select("key", F.col("a").alias("id"), "n", "s1", "s2")
-    if some := rows_.where("size(hot_keys) > 0").take(1):
-        hot = cut(hot.unionByName(classes.select(F.explode("hot_keys").alias("key"), "id", "n", "s1", "s2")))
-    if some or hot.take(1):
-        links = links.unionByName(_hot_links(hot, texts, parts, block, tile))
-    links = cut(links)
+    classes = filled.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "s1", "s2", "keys", "open_keys"), "id").alias("of"), F.min("id").alias("id")).select("id", "of.*")
+    classes = cut(classes)
+    open_ = classes.select(F.explode("open_keys").alias("key"), "id", "n", "s1", "s2")
+    sizes = cut(open_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    cells = F.ceil(F.col("size") / block)
+    counted = join_counted(open_, sizes, ["key"], "size").withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("long"))
+    entries = classes.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("cell"), "id", "n", "s1", "s2").unionByName(counted.select("key", "cell", "id", "n", "s1", "s2"))
+    links = _links(entries.withColumn("label", F.col("id")), texts, dense, tile)
+    wide = sizes.where(cells > 1)
+    if wide.take(1):
+        hot = cut(join_counted(open_, cut(wide), ["key"], "size"))
+        links = cut(links.unionByName(_links(_across(hot, components(links), block), texts, dense, tile)))
+        forget(hot)
     labels = components(links)
     copied = filled.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")
     groups = cut(copied.join(labels, copied.id == labels.node, "left").select("k1", "k2", F.coalesce("component", "id").alias("group_id"), "copies"))
     in_copies = join_counted(filled.select("k1", "k2", "id"), groups, ["k1", "k2"], "copies").select("group_id", "id")
+    forget(classes, links)
     return in_copies.unionByName(labels.select(F.col("component").alias("group_id"), F.col("node").alias("id"))).distinct()
 
 
-def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+
+
+def _links(entries: DataFrame, texts: DataFrame, dense: int, tile: int) -> DataFrame:
+    """Proven links (a, b) of the rows of each cell, as a written table."""
+    near = cut(_sorted(entries, "key", "cell").mapInArrow(_near(dense, tile), NEAR))
+    pairs = near.where("b is not null").select("a", "b").distinct()
+    links = proven(cut(pairs), texts)
+    full = near.where("b is null").select("key", "cell", F.col("a").alias("id"), "n", "s1", "s2", "label")
+    if full.take(1):
+        found = texts.join(full.select("id").distinct(), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
+        links = links.unionByName(_sorted(full.join(found, "id"), "key", "cell").mapInArrow(_forest(tile * tile), "a long, b long"))
+    links = cut(links.distinct())
+    forget(near)
+    return links
+
+
+def proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike by all their words. Texts are joined by shuffle, and only those of pairs travel on."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = texts.join(small(nodes), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
+    found = texts.join(nodes, "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
     a, b = (found.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     return (
         pairs.join(a, "a").join(b, "b")
@@ -296,13 +393,14 @@ def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _hot_links(entries: DataFrame, texts: DataFrame, parts: int, block: int, tile: int) -> DataFrame:
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    found = texts.join(entries.select("id"), "id", "left_semi").mapInArrow(_tokens, "id long, tokens array<long>").dropDuplicates(["id"])
-    blocks = (
-        entries.join(small(sizes), "key").join(found, "id")
-        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "n", "s1", "s2", "tokens")
-    )
-    return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_blocks(tile), "a long, b long").distinct()
+def _across(hot: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Cells in which rows of buckets that were cut meet the rows of other groups. hot: (key, id, n, s1, s2)."""
+    placed = cut(hot.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "s1", "s2", F.coalesce("component", "id").alias("label")))
+    by_label = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    of = by_label.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all")
+    of = cut(of.select("key", "big", "all", F.ceil(F.col("most") / block).alias("m"), F.ceil((F.col("all") - F.col("most")) / block).alias("r")))
+    there = join_counted(placed, of, ["key"], "all").withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("big"), F.col("m")).otherwise(F.col("r"))))
+    # cells 0 to m r - 1 are of the largest group and the others, the negative ones of two blocks of others
+    own = F.expr("transform(sequence(0L, r - 1), j -> mine * r + j)")
+    others = F.concat(F.expr("transform(sequence(0L, m - 1), g -> g * r + mine)"), F.expr("transform(sequence(0L, r - 1), j -> -1L - (least(mine, j) * r + greatest(mine, j)))"))
+    return there.withColumn("cell", F.explode(F.when(F.col("label") == F.col("big"), own).otherwise(others))).select("key", "cell", "id", "n", "s1", "s2", "label")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm import words
-from querylens.llm.near import _buckets
+from querylens.llm.near import buckets
 from querylens.llm.spans import K, LEAST, Text, _least, chains
 from querylens.operators.shared import cut, join_counted, small
 
@@ -190,7 +190,7 @@ def _compared(table: pa.Table, least: int, k: int) -> list[tuple]:
 
 def _blocks(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches, ("ba", "bb"), 5_000):
+        for table in buckets(batches, ("ba", "bb"), 5_000):
             ba, bb = (table.column(c).to_numpy() for c in ("ba", "bb"))
             begin = np.flatnonzero(np.r_[True, (ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1])])
             size = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(table.column("text")), 0).to_numpy())]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm import words
-from querylens.llm.near import _buckets
+from querylens.llm.near import buckets
 from querylens.operators.shared import cut, join_counted, small
 
 LEAST, K = 300, 100
@@ -243,7 +243,7 @@ def _segments(table: pa.Table, least: int, chained: bool = True):
 
 def _stretches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches, ("doc",), 50_000):
+        for table in buckets(batches, ("doc",), 50_000):
             doc, _, x, _, n, _ = _segments(table, least, chained=False)
             order = np.lexsort((x, doc))
             doc, x, end = doc[order], x[order], (x + n)[order]
@@ -259,7 +259,7 @@ def _stretches(least: int):
 
 def _passages(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches, ("doc",), 50_000):
+        for table in buckets(batches, ("doc",), 50_000):
             doc, other, x, y, n, chain = _segments(table, least)
             order = np.lexsort((x, chain, other, doc))
             doc, other, x, y, n, chain = (v[order] for v in (doc, other, x, y, n, chain))

@@ -52,7 +52,7 @@ def variants(seed, n, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_count": 3, "block": 7, "tile": 4}, {"dense": 0}, {"dense": 1, "block": 5, "tile": 3}])
+@pytest.mark.parametrize("options", [{}, {"rare": 3, "block": 7, "tile": 4}, {"dense": 0}, {"rare": 0, "dense": 1, "block": 5, "tile": 3}, {"rare": 5, "long": 20}, {"rare": 0, "long": 0, "block": 4}])
 def test_against_all_pairs(spark, options):
     rows = variants(1, 120, [f"w{i}" for i in range(60)] + ["表", "the", "The"])
     assert found(spark, rows, **options) == brute(rows)
@@ -71,7 +71,37 @@ def test_nulls_copies_and_empty(spark):
 def test_a_third_are_copies(spark):
     rows = [(i, "same words in every row", "SELECT 1", None, 0) for i in range(400)] + variants(2, 60, [f"v{i}" for i in range(500)])
     rows = [(n, *r[1:]) for n, r in enumerate(rows)]
-    assert found(spark, rows, hot_count=50, block=16, tile=8) == brute(rows)
+    assert found(spark, rows, rare=50, block=16, tile=8) == brute(rows)
+
+
+def test_a_third_are_near_alike(spark):
+    r = random.Random(5)
+    core = [f"c{i}" for i in range(30)]
+    rows = []
+    for n in range(300):
+        t = list(core)
+        for _ in range(r.randint(1, 4)):
+            t[r.randrange(30)] = f"x{r.randrange(8)}"
+        rows.append((n, " ".join(t), "", None, 0))
+    rows += [(1000 + x[0], *x[1:]) for x in variants(3, 80, [f"x{i}" for i in range(8)] + core)]
+    for options in ({"rare": 20, "block": 40}, {"rare": 20, "block": 25, "tile": 4, "dense": 2}):
+        assert found(spark, rows, **options) == brute(rows)
+
+
+def test_tiles_against_all_pairs():
+    import numpy as np
+
+    from querylens.llm.near import tiles
+
+    r = np.random.default_rng(1)
+    cell, n = np.sort(r.integers(0, 9, 200)), r.integers(20, 60, 200).astype(np.int32)
+    s1, s2 = (np.where(r.random(200) < 0.5, np.uint64(0xFFFF0000), np.uint64(0x0FFFF0FF)) ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)) for _ in range(2))
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if cell[i] == cell[j] and int(s1[i] ^ s1[j]).bit_count() + int(s2[i] ^ s2[j]).bit_count() <= radius(n[i], n[j])}
+    for tile in (2, 5, 16, 64):
+        x, y, full = tiles(cell, n, s1, s2, tile)
+        assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want) and not full.any()
+    x, y, full = tiles(cell, n, s1, s2, 4, dense=0)
+    assert full.sum() == len({cell[i] for i, _ in want}) and not len(x)
 
 
 def test_radius_never_loses_a_pair():

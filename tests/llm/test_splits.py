@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from querylens.llm.families import name_key, roots
 from querylens.llm.splits import resolved, split_families
-from querylens.operators.graph import boruvka, components
+from querylens.llm.graph import boruvka, components
 
 REGISTRY = "db_id string, derived_from string, topic string, key string"
 
