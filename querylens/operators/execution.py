@@ -9,8 +9,10 @@ from __future__ import annotations
 import logging
 import threading
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark import inheritable_thread_target
 
 from querylens.functions.dialect import to_spark
-from querylens.functions.sqltext import SqlError, outermost_order_by
 from querylens.operators.cells import CELLS, SHAPE, stage
 from querylens.operators.shared import _made, cut, shared_dir
 
@@ -174,34 +175,27 @@ def run(database: Database, sql: str, query_id: int, side: str, into: str, order
         spark.sparkContext.removeJobTag(tag)
 
 
-def stage_queries(spark: SparkSession, databases: dict[str, Database], queries: list[tuple[str, str, bool]], timeout_s: float = TIMEOUT_S, threads: int = THREADS) -> tuple[DataFrame, DataFrame]:
-    """(cells, shape) of many queries (db_id, sql, ordered); sample_id is the place in the list, side is empty.
+def stage_queries(spark: SparkSession, databases: dict[str, Database], queries: Iterable[tuple[int, str, str, bool]], timeout_s: float = TIMEOUT_S, threads: int = THREADS) -> tuple[DataFrame, DataFrame]:
+    """(cells, shape) of many queries (id, db_id, sql, ordered); sample_id is the id, side is empty.
 
-    An unknown db_id raises KeyError before anything runs. Row counts come from one job over all cells.
+    An unknown db_id raises KeyError. Queries are taken from the iterator as threads get free, and only their outcomes are
+    kept. Row counts come from one job over all cells.
     """
-    for db, _, _ in queries:
-        databases[db]
     into = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
     _made.add(into)
+    facts: list[tuple[int, bool, int, str | None]] = []
     with ThreadPoolExecutor(threads) as pool:
-        work = inheritable_thread_target(spark)(lambda q: run(databases[q[1][0]], q[1][1], q[0], "", into, q[1][2], timeout_s))
-        outcomes = []
-        for outcome in pool.map(work, enumerate(queries)):
-            outcomes.append(outcome)
-            if len(outcomes) % 20 == 0 or len(outcomes) == len(queries):
-                log.info("%d of %d queries", len(outcomes), len(queries))
-    staged = any(o.ok and o.n_cols for o in outcomes)
+        work = inheritable_thread_target(spark)(lambda q: (q[0], run(databases[q[1]], q[2], q[0], "", into, q[3], timeout_s)))
+        while some := list(islice(queries := iter(queries), 20 * threads)):
+            for _, db, _, _ in some:
+                databases[db]
+            facts += [(i, o.ok, o.n_cols, o.error) for i, o in pool.map(work, some)]
+            log.info("%d queries run", len(facts))
+    staged = any(ok and n_cols for _, ok, n_cols, _ in facts)
     cells = spark.read.schema(CELLS).parquet(into).drop("query") if staged else spark.createDataFrame([], CELLS)
     counts = cells.where("col_idx = 0").groupBy("sample_id").agg(F.count("*").alias("n_rows"))
-    facts = spark.createDataFrame([(i, o.ok, o.n_cols, o.error) for i, o in enumerate(outcomes)], "sample_id long, ok boolean, n_cols int, error string")
+    outcomes = spark.createDataFrame(facts, "sample_id long, ok boolean, n_cols int, error string")
     n = F.when(F.col("ok"), F.coalesce("n_rows", F.lit(0)))
-    shape = facts.join(counts, "sample_id", "left").select("sample_id", F.lit("").alias("side"), "ok", n.alias("n_rows"), "n_cols", "error")
+    shape = outcomes.join(counts, "sample_id", "left").select("sample_id", F.lit("").alias("side"), "ok", n.alias("n_rows"), "n_cols", "error")
     assert [f.name for f in shape.schema] == [c.split()[0] for c in SHAPE.split(", ")]
     return cells, shape
-
-
-def is_ordered(sql: str) -> bool:
-    try:
-        return outermost_order_by(sql)
-    except SqlError:
-        return False

@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querylens.functions.prompts import composed, fenced
 from querylens.functions.sqltext import extract_sql, sql_facts
 from querylens.operators.checks import Stored, validate
 from querylens.operators.declarations import reply_sheet
+from querylens.operators.evaluate import voted
 from querylens.operators.execution import stored_values
 from querylens.operators.shared import cut
 
@@ -78,8 +80,6 @@ class Direct(Generator):
         self.chat, self.prompt = chat, prompt
 
     def predict(self, sample: dict) -> str:
-        from querylens.functions.prompts import fenced
-
         return fenced(self.chat(self.prompt(sample)))
 
 
@@ -109,25 +109,44 @@ class Variant:
     convention_checks: bool = False
     max_repairs: int = 2
     n_plans: int = 1
+    large: bool = False
+    thinking: bool = False
 
     @property
     def plan_temperature(self) -> float:
         return 0.0 if self.n_plans == 1 else 0.7
 
+    @property
+    def settings(self) -> dict:
+        """What a call passes to the chat endpoint besides its messages."""
+        return {"large": self.large, "thinking": self.thinking}
+
 
-_P, _D = {"use_plan": True}, {"declare": True}
-VARIANTS = {
-    v.name: v
-    for v in (
-        Variant("direct"), Variant("direct_rules", conventions=True), Variant("plan", **_P),
-        Variant("plan_sheet", **_P, **_D), Variant("sheet", **_D), Variant("sheet_rules", **_D, conventions=True),
-        Variant("sheet_rules_checks", **_D, conventions=True, extra_checks=True), Variant("sheet_checks", **_D, extra_checks=True),
-        Variant("sheet_rules_checks_once", **_D, conventions=True, extra_checks=True, max_repairs=0),
-        Variant("plan_sheet_profile", **_P, **_D, use_profile=True), Variant("plan_sheet_profile_forced", **_P, **_D, use_profile=True, force_considered=True),
-        Variant("plan_sheet_profile_forced_checks", **_P, **_D, use_profile=True, force_considered=True, extra_checks=True),
-        Variant("plan_sheet_rules", **_P, **_D, conventions=True), Variant("plan_sheet_rules_checked", **_P, **_D, conventions=True, convention_checks=True),
-    )
+#: What a part of a variant's name switches on.
+SWITCHES = {
+    "plan": {"use_plan": True}, "sheet": {"declare": True}, "profile": {"use_profile": True}, "forced": {"force_considered": True}, "rules": {"conventions": True},
+    "checks": {"extra_checks": True}, "checked": {"convention_checks": True}, "once": {"max_repairs": 0}, "large": {"large": True}, "thinking": {"thinking": True}, "direct": {},
 }
+# The combinations of switches on offer. All that plan or declare use the large model with thinking.
+OFFERED = """direct direct_thinking direct_large direct_large_thinking direct_rules plan plan_sheet sheet sheet_rules sheet_rules_checks sheet_checks
+ sheet_rules_checks_once plan_sheet_profile plan_sheet_profile_forced plan_sheet_profile_forced_checks plan_sheet_rules plan_sheet_rules_checked""".split()
+
+
+def variant(name: str) -> Variant:
+    """The variant that a name of switches stands for, offered or not; ValueError names an unknown switch."""
+    on: dict = {}
+    for part in name.split("_"):
+        if part not in SWITCHES:
+            raise ValueError(f"unknown switch {part!r} in {name!r}; known are {sorted(SWITCHES)}")
+        on |= SWITCHES[part]
+    if on.get("use_plan") or on.get("declare") or on.get("conventions"):
+        on |= {"large": True, "thinking": True}
+    return Variant(name, **on)
+
+
+VARIANTS = {name: variant(name) for name in OFFERED}
+#: All that can be chosen by name.
+MODELS = [FirstTable.name, *OFFERED]
 
 
 def plans(samples: DataFrame, ask: Replies, variant: Variant) -> DataFrame:
@@ -145,7 +164,7 @@ def generate(planned: DataFrame, ask: Replies) -> DataFrame:
 
 
 def declare(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant, stored: Stored | None = None) -> tuple[DataFrame, DataFrame]:
-    """(final, rounds): rows (id, sql, passed, n_rounds), and every round (id, round_no, sql, error, issues).
+    """(final, rounds): rows (id, sql, passed, n_rounds), and every round (id, round_no, sql, error, declarations, issues).
 
     Each sample is asked at most 1 + max_repairs times, until a reply has no issues. The last query that could be read is
     kept even if it fails; it is '' only if no round could be read. All samples that still fail are asked in one pass; the
@@ -159,7 +178,8 @@ def declare(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Varia
         read = cut(left.join(ask(asked).select("id", "reply"), "id", "left").withColumn("sheet", reply_sheet("reply")).withColumn("sql", F.col("sheet.sql")).withColumn("facts", sql_facts("sql")))
         found = validate(read, catalog, variant.extra_checks, variant.convention_checks, stored)
         issues = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("check", "ord", "issue"))), lambda x: x["issue"]).alias("issues"))
-        this = cut(read.select("id", F.lit(turn).alias("round_no"), "sql", F.col("sheet.error").alias("error")).join(issues, "id", "left").withColumn("issues", F.coalesce("issues", F.expr("cast(array() as array<string>)"))))
+        written = F.get_json_object(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "$.declarations").alias("declarations")
+        this = cut(read.select("id", F.lit(turn).alias("round_no"), "sql", F.col("sheet.error").alias("error"), written).join(issues, "id", "left").withColumn("issues", F.coalesce("issues", F.expr("cast(array() as array<string>)"))))
         rounds = this if rounds is None else rounds.unionByName(this)
         failing = this.where(F.size("issues") > 0).select("id")
         if turn == variant.max_repairs or not failing.take(1):
@@ -196,23 +216,13 @@ def asked_of(chat: Chat, build: Callable[[dict], list[dict]], context: DataFrame
 
 
 def messages(row: dict, variant: Variant) -> list[dict]:
-    """The messages of one call: a system text, with the rulebook where the variant has it, and a user text from schema, facts,
-    question and plan of the row."""
-    from querylens.functions.prompts import TEMPLATES, conventions_block
-
-    said = {k: row.get(k) or "" for k in ("schema", "facts", "question", "plan", "profile", "issues")}
-    if row["stage"] == "plan":
-        system, user = TEMPLATES["planner.system"], TEMPLATES["planner.user"].render(schema=said["schema"], profile=said["profile"], question=said["question"])
-    elif row["stage"] == "generate":
-        system, user = TEMPLATES["query.system"], TEMPLATES["query.user"].render(schema=said["schema"], question=said["question"], plan=said["plan"])
-    else:
-        places = {"schema": said["schema"], "facts": said["facts"] or "(no facts known)", "question": said["question"]}
-        user = TEMPLATES["sheet.user"].render(**places, plan=said["plan"]) if variant.use_plan else TEMPLATES["sheet.user.noplan"].render(**places)
-        system = TEMPLATES["sheet.system"]
-        if said["issues"]:
-            user += "\n" + TEMPLATES["sheet.repair"].render(issues=said["issues"])
-    rules = TEMPLATES["rules.sheet" if row["stage"] == "declare" else "rules.direct"].render(rules=conventions_block()) if variant.conventions and row["stage"] != "plan" else ""
-    return [{"role": "system", "content": system.render() + rules}, {"role": "user", "content": user}]
+    """The messages of one call for a row (stage, and schema, facts, question, plan and issues as far as there are)."""
+    told = {k: row.get(k) or "" for k in ("schema", "facts", "question", "plan", "issues")}
+    if row["stage"] == "plan" and not variant.use_profile:
+        told["facts"] = ""
+    elif row["stage"] == "declare":
+        told["facts"] = told["facts"] or "(no facts known)"
+    return composed(row["stage"], told, variant.conventions)
 
 
 def preview(samples: DataFrame, variant: Variant) -> DataFrame:
@@ -228,22 +238,52 @@ def preview(samples: DataFrame, variant: Variant) -> DataFrame:
     return samples.mapInPandas(run, schema)
 
 
-def pipeline(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant, databases: dict, timeout_s: float = 30.0) -> tuple[DataFrame, DataFrame]:
-    """(predictions, candidates) of a variant: plans, one query or sheet a plan, and a vote over all plans' queries by result.
+def traced(samples: DataFrame, candidates: DataFrame, rounds: DataFrame | None, chosen: DataFrame) -> DataFrame:
+    """Rows (id, payload): the trace of every sample as JSON {question, plans, candidates, winner, final_sql}, a candidate being
+    {plan, sql, ok, error, n_rows, checks}, checks {passed, rounds, declarations} and a round {sql, declarations, issues}.
 
-    predictions: (id, winner, pred_sql), '' where no query came out; candidates: (id, candidate, plan, sql). With one plan the
-    script asks for id, with more for id * n_plans + plan.
-    """
-    from querylens.operators.evaluate import vote
+    candidates: (id, candidate, cid, plan, sql, ok, n_rows, error), rounds: those of declare() by cid, chosen: (id, winner, pred_sql)."""
+    def ordered(by: str, what: Column, into: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), what.alias("of")))), lambda x: x["of"]).alias(into)
 
+    if rounds is not None:
+        sheet = F.try_parse_json("declarations")
+        one = F.to_json(F.struct("sql", sheet.alias("declarations"), "issues"), {"ignoreNullFields": "false"})
+        last = F.max_by("declarations", F.when(F.col("declarations").isNotNull(), F.col("round_no")))
+        checks = rounds.groupBy(F.col("id").alias("cid")).agg(F.max_by(F.size("issues") == 0, "round_no").alias("passed"), ordered("round_no", one, "rounds"), last.alias("declarations"))
+        checks = checks.select("cid", F.concat(F.lit('{"passed":'), F.col("passed").cast("string"), F.lit(',"rounds":['), F.array_join("rounds", ","), F.lit('],"declarations":'), F.coalesce(F.to_json(F.try_parse_json("declarations")), F.lit("null")), F.lit("}")).alias("checks"))
+        candidates = candidates.join(checks, "cid", "left")
+    else:
+        candidates = candidates.withColumn("checks", F.lit(None).cast("string"))
+    parts = F.to_json(F.struct("plan", "sql", "ok", "error", "n_rows"), {"ignoreNullFields": "false"})
+    each = F.concat(F.substring(parts, F.lit(1), F.length(parts) - 1), F.lit(',"checks":'), F.coalesce("checks", F.lit("null")), F.lit("}"))
+    by = candidates.groupBy("id").agg(ordered("candidate", F.col("plan"), "plans"), ordered("candidate", each, "each"))
+    whole = samples.select("id", "question").join(by, "id", "left").join(chosen.select("id", "winner", "pred_sql"), "id", "left")
+    quoted = lambda c: F.coalesce(F.get_json_object(F.to_json(F.struct(F.array(c).alias("x"))), "$.x"), F.lit("[null]"))
+    text = lambda c: F.expr(f"substring(q_{c}, 2, length(q_{c}) - 2)")
+    whole = whole.withColumns({f"q_{c}": quoted(F.col(c)) for c in ("question", "pred_sql")})
+    payload = F.concat(
+        F.lit('{"question":'), text("question"), F.lit(',"plans":'), F.coalesce(F.to_json("plans"), F.lit("[]")), F.lit(',"candidates":['), F.coalesce(F.array_join("each", ","), F.lit("")),
+        F.lit('],"winner":'), F.coalesce(F.col("winner").cast("string"), F.lit("null")), F.lit(',"final_sql":'), text("pred_sql"), F.lit("}"),
+    )
+    return whole.select("id", payload.alias("payload"))
+
+
+def pipeline(samples: DataFrame, catalog: DataFrame, ask: Replies, variant: Variant, databases: dict, timeout_s: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, candidates, traces) of a variant: plans, one query or sheet a plan, and a vote over all plans' queries by result.
+
+    predictions: (id, winner, pred_sql), '' where no query came out; candidates: (id, candidate, plan, sql); traces: see traced().
+    With one plan the script asks for id, with more for id * n_plans + plan.
+    """
     planned = plans(samples, ask, variant)
     each = cut(planned.join(samples, "id").withColumn("cid", F.col("id") * variant.n_plans + F.col("turn")).withColumnsRenamed({"id": "sample", "turn": "candidate"}).withColumnRenamed("cid", "id"))
+    rounds = None
     if variant.declare:
-        written = declare(each, catalog, ask, variant, stored_values(samples.sparkSession, databases))[0].select("id", "sql")
+        written, rounds = declare(each, catalog, ask, variant, stored_values(samples.sparkSession, databases))
     else:
-        written = generate(each.select("id", F.lit(0).alias("turn"), "plan"), ask).select("id", "sql")
-    candidates = cut(each.join(written, "id").select(F.col("sample").alias("id"), "candidate", "db_id", "plan", "sql"))
-    listed = candidates.orderBy("id", "candidate").collect()
-    won = vote(samples.sparkSession, [(r["id"], r["candidate"], r["db_id"], r["sql"]) for r in listed], databases, timeout_s)
-    chosen = won.select(F.col("question").alias("id"), "winner").join(candidates, "id").where("candidate = winner").select("id", "winner", F.col("sql").alias("pred_sql"))
-    return chosen, candidates.drop("db_id")
+        written = generate(each.select("id", F.lit(0).alias("turn"), "plan"), ask)
+    candidates = cut(each.join(written.select("id", "sql"), "id").select(F.col("sample").alias("id"), "candidate", F.col("id").alias("cid"), "db_id", "plan", "sql"))
+    won, outcomes = voted(samples.sparkSession, candidates.select(F.col("id").alias("question"), "candidate", "db_id", "sql"), databases, timeout_s)
+    chosen = cut(won.select(F.col("question").alias("id"), "winner").join(candidates, "id").where("candidate = winner").select("id", "winner", F.col("sql").alias("pred_sql")))
+    full = candidates.join(outcomes.withColumnRenamed("question", "id"), ["id", "candidate"])
+    return chosen, candidates.drop("db_id", "cid"), traced(samples, full, rounds, chosen)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions.labels import coarse_reasoning
 from querylens.operators import measure, nested, scores, vote
-from querylens.operators.shared import small
+from querylens.operators.shared import cut, small
 from querylens.plans.traces import ORACLE as TRACE_SQL
 from querylens.sources.tables import table
 
@@ -75,7 +75,7 @@ def check_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def check_precision(spark: SparkSession, d: str) -> DataFrame:
     """The worth of each check on the traces of all runs; a trace is right if its query has a matching result in the table."""
-    rows = _measured(spark, d)
+    rows = cut(_measured(spark, d))
     right = _results(spark, d).where("match").select("sample_id", F.col("pred_sql").alias("sql")).distinct().withColumn("match", F.lit(True))
     verdicts = rows.select("id", "sample_id", "sql").join(right, ["sample_id", "sql"], "left").select("id", F.coalesce("match", F.lit(False)).alias("match"))
     return scores.check_precision(measure.hits(rows, table(spark, d, "schema_columns")), verdicts, "id")

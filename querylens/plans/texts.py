@@ -18,14 +18,14 @@ def extract_sql(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outer_order_by(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sample_results").select("result_id", sqltext.has_outermost_order_by("gold_sql").alias("ordered"))
+    return table(spark, d, "sample_results").select("result_id", sqltext.has_outermost_order_by(F.col("gold_sql")).alias("ordered"))
 
 
 def sql_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of every prediction, counted by what they are."""
-    facts = sqltext.facts(table(spark, d, "sample_results").select("pred_sql"), "pred_sql")
+    """Facts of every prediction, counted by what they are; each different text is parsed once."""
+    facts = sqltext.facts(table(spark, d, "sample_results").groupBy("pred_sql").agg(F.count("*").alias("times")), "pred_sql")
     items = F.size("facts.kinds")
-    return facts.groupBy(F.col("facts.error").isNull().alias("parsed"), F.coalesce(items, F.lit(-1)).alias("n_items"), F.col("facts.has_div").alias("has_div"), F.col("facts.has_abs").alias("has_abs"), F.col("facts.select_has_sub").alias("has_sub"), F.col("facts.has_now").alias("has_now")).agg(F.count("*").alias("n"))
+    return facts.groupBy(F.col("facts.error").isNull().alias("parsed"), F.coalesce(items, F.lit(-1)).alias("n_items"), F.col("facts.has_div").alias("has_div"), F.col("facts.has_abs").alias("has_abs"), F.col("facts.select_has_sub").alias("has_sub"), F.col("facts.has_now").alias("has_now")).agg(F.sum("times").alias("n"))
 
 
 def reasoning_labels(spark: SparkSession, d: str) -> DataFrame:

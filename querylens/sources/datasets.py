@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import json
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,17 @@ def resolve(name: str, aliases: dict[str, str]) -> str:
     return aliases.get(name, name)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
 def _elements(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (idx, v) for the elements of the one JSON array in a file, v as a variant, counted from 0."""
+    """Rows (idx, v): the elements of the one JSON array in a file, counted from 0, or the lines of JSON in a folder, which carry
+    their idx; v is a variant."""
+    if is_folder(spark, path):
+        return spark.read.text(path).select(F.parse_json("value").alias("v")).select(F.variant_get("v", "$.idx", "long").alias("idx"), "v")
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     if whole.count() != 1 or not whole.where("schema_of_variant(v) like 'ARRAY%'").take(1):
         raise ValueError(f"{path} is not one JSON array")
@@ -35,9 +46,9 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     rows = _elements(spark, path)
     fields = F.from_json(F.to_json("v"), "map<string,string>")
     rows = rows.select(F.col("idx").cast("long").alias("idx"), "v", fields.alias("m"))
-    for key in REQUIRED:
-        if rows.where(f"m is null or not map_contains_key(m, '{key}')").take(1):
-            raise KeyError(key)
+    lacking = rows.where(" or ".join(["m is null"] + [f"not map_contains_key(m, '{k}')" for k in REQUIRED])).select("m").take(1)
+    if lacking:
+        raise KeyError(next(k for k in REQUIRED if k not in (lacking[0]["m"] or {})))
     text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     return rows.select(
         "idx", *(text(k).alias(k) for k in REQUIRED), F.coalesce(text("reasoning_type"), F.lit("")).alias("reasoning_type"),
@@ -46,7 +57,8 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_predictions(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """Rows (idx, pred_sql) of a file with an array of texts or objects {"predicted_sql": text}, which may be mixed.
+    """Rows (idx, pred_sql) of a file with an array of texts or objects {"predicted_sql": text}, which may be mixed, or of a folder
+    that write_predictions() made.
 
     An element of another kind raises TypeError, another number of elements than expected ValueError.
     """
@@ -112,23 +124,26 @@ def run_meta(data: str, predictions: str | None, db_dir: str, timeout_s: float)
     return {"data": data, "predictions": predictions, "db_dir": db_dir, "timeout_s": timeout_s, "timestamp": datetime.datetime.now().isoformat(timespec="seconds")}
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> str:
-    """Write one small file through the file system of the path."""
+def _write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> str:
+    """Write one file, part by part, through the file system of the path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(target.getParent())
     out = fs.create(target, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        parts = iter(parts)
+        while some := "".join(islice(parts, 1000)):
+            out.write(bytearray(some.encode("utf-8")))
     finally:
         out.close()
     return path
 
 
-def write_report(spark: SparkSession, results: DataFrame, rollup: DataFrame, meta: dict, folder: str, name: str) -> str:
-    """name.json with meta, summary and both groupings, and the samples beside it as lines of JSON in name.samples.
+def write_report(spark: SparkSession, results: DataFrame, rollup: DataFrame, meta: dict, folder: str, name: str, whole: bool = True) -> str:
+    """name.json with meta, summary, both groupings and the samples in the order of their index.
 
-    Only the roll-up, one row a database and reasoning type, comes to the driver; samples are written where they are.
+    The roll-up is one row a database and reasoning type. Samples pass the driver one after the other; for results that one
+    file shouldn't hold, whole=False writes them where they are, as lines of JSON in name.samples beside the document.
     """
     def scores(r) -> dict:
         return {"n": r["n"], "VA": r["va"], "EX": r["ex"], "SIM": r["sim"]}
@@ -137,19 +152,57 @@ def write_report(spark: SparkSession, results: DataFrame, rollup: DataFrame, met
     total = next((r for r in rows if r["level"] == "all"), None)
     summary = {"n": 0, "n_valid": 0, "n_match": 0, "VA": 0.0, "EX": 0.0, "SIM": 0.0} if total is None else {"n": total["n"], "n_valid": total["n_valid"], "n_match": total["n_match"], **{k: v for k, v in scores(total).items() if k != "n"}}
     report = {"meta": meta, "summary": summary} | {part: {r["key"]: scores(r) for r in rows if r["level"] == level} for part, level in (("by_db", "db"), ("by_reasoning_type", "reasoning"))}
-    results.write.mode("overwrite").json(f"{folder}/{name}.samples", ignoreNullFields=False)
-    return _write_text(spark, f"{folder}/{name}.json", json.dumps(report, ensure_ascii=False, indent=2))
+    head = json.dumps(report, ensure_ascii=False, indent=2)
+    if not whole:
+        results.write.mode("overwrite").json(f"{folder}/{name}.samples", ignoreNullFields=False)
+        return _write_text(spark, f"{folder}/{name}.json", [head])
+    lines = results.orderBy("index") if "index" in results.columns else results
+    lines = lines.select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator()
+    body = (f"{',' if i else ''}\n    {r['line']}" for i, r in enumerate(lines))
+    return _write_text(spark, f"{folder}/{name}.json", chain([head[:-2], ',\n  "samples": ['], body, ["\n  ]\n}"]))
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (idx, match) of a report with its samples in it."""
+    samples = spark.read.text(path, wholetext=True).select(F.explode(F.variant_get(F.parse_json("value"), "$.samples", "array<variant>")).alias("v"))
+    return samples.select(F.variant_get("v", "$.index", "long").alias("idx"), F.variant_get("v", "$.match", "boolean").alias("match"))
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Lines of JSON (idx, predicted_sql) in the order of idx; parts follow each other."""
-    predictions.select("idx", F.col("pred_sql").alias("predicted_sql")).repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").json(path)
+    """One file with a JSON array of the queries in the order of idx if the path ends in .json, else a folder of lines of JSON
+    (idx, predicted_sql) in that order, written where they are. load_predictions() reads both. Positions must be 0, 1, ...
+    for a file: an array has no others."""
+    if not path.endswith(".json"):
+        predictions.select("idx", F.col("pred_sql").alias("predicted_sql")).repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").json(path)
+        return
+    rows = predictions.orderBy("idx").select("idx", F.coalesce("pred_sql", F.lit("")).alias("pred_sql")).toLocalIterator()
+
+    def items() -> Iterator[str]:
+        for i, r in enumerate(rows):
+            if r["idx"] != i:
+                raise ValueError(f"position {i} is missing or stands twice")
+            yield f"{',' if i else ''}\n {json.dumps(r['pred_sql'], ensure_ascii=False)}"
+
+    _write_text(predictions.sparkSession, path, chain(["["], items(), ["\n]"]))
 
 
 def write_traces(traces: DataFrame, path: str) -> bool:
-    """Traces as lines of JSON at <stem>.trace.json; nothing is written where there are none."""
+    """Traces (idx, payload) as lines of JSON {"idx", "trace"} in the order of idx, in the folder <stem>.trace.json; nothing is
+    written where there are none. Other columns than these make the trace where there is no payload."""
     if not traces.take(1):
         return False
     target = re.sub(r"\.json$", "", path) + ".trace.json"
-    traces.select(F.to_json(F.struct(*[c for c in traces.columns if c not in ("db_path", "schema")]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(target)
+    if "payload" in traces.columns:
+        line = F.concat(F.lit('{"idx":'), F.col("idx").cast("string"), F.lit(',"trace":'), F.col("payload"), F.lit("}"))
+        traces = traces.repartitionByRange("idx").sortWithinPartitions("idx")
+    else:
+        line = F.to_json(F.struct(*[c for c in traces.columns if c not in ("db_path", "schema")]), {"ignoreNullFields": "false"})
+    traces.select(line.alias("value")).write.mode("overwrite").text(target)
     return True
+
+
+def load_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (idx, payload) of a folder that write_traces() made, or of a file with an array of traces."""
+    rows = _elements(spark, path)
+    inner = F.coalesce(F.try_variant_get("v", "$.trace", "variant"), F.col("v")) if is_folder(spark, path) else F.col("v")
+    return rows.select(F.col("idx").cast("long").alias("idx"), F.to_json(inner).alias("payload"))

@@ -111,7 +111,10 @@ def test_generators(spark):
     assert generate.Direct(chat, lambda s: []).predict({}) == "SELECT 1" and chat([], t=2) == "```sql\nSELECT 2```"
     with pytest.raises(RuntimeError):
         generate.Chat(None)([])
-    assert all(name == v.name for name, v in generate.VARIANTS.items()) and generate.VARIANTS["plan"].plan_temperature == 0.0
+    assert all(name == v.name for name, v in generate.VARIANTS.items()) and generate.VARIANTS["plan"].plan_temperature == 0.0 and len(generate.MODELS) == 18
+    assert generate.variant("sheet_rules").conventions and generate.VARIANTS["direct_large"].settings == {"large": True, "thinking": False}
+    with pytest.raises(ValueError):
+        generate.variant("sheet_nothing")
 
 
 def test_files(spark, tmp_path):
@@ -138,7 +141,7 @@ def test_files(spark, tmp_path):
     results = spark.createDataFrame([("a", "+ C", True, True, 1.0)], "db_id string, reasoning_type string, valid boolean, match boolean, similarity double")
     at = datasets.write_report(spark, results, scores.rollup(results), datasets.run_meta("d", None, "db", 30.0), str(tmp_path / "r"), "rep")
     report = json.load(open(at, encoding="utf-8"))
-    assert report["summary"]["EX"] == 1.0 and report["by_reasoning_type"] == {"A+C": {"n": 1, "VA": 1.0, "EX": 1.0, "SIM": 1.0}} and set(report) == {"meta", "summary", "by_db", "by_reasoning_type"}
+    assert report["summary"]["EX"] == 1.0 and report["by_reasoning_type"] == {"A+C": {"n": 1, "VA": 1.0, "EX": 1.0, "SIM": 1.0}} and set(report) == {"meta", "summary", "by_db", "by_reasoning_type", "samples"} and report["samples"][0]["match"] is True
     assert datasets.write_traces(results.limit(0), str(tmp_path / "t.json")) is False and datasets.write_traces(results, str(tmp_path / "t.json")) is True
     (tmp_path / "dbs/one").mkdir(parents=True)
     (tmp_path / "dbs/two").mkdir()

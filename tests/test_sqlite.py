@@ -6,7 +6,7 @@ import pytest
 from querylens.__main__ import main
 from querylens.operators import generate
 from querylens.operators.profile import numeric_columns
-from querylens.sources import sqlite
+from querylens.sources import datasets, sqlite
 from test_checks import NAME, sheet
 
 
@@ -53,6 +53,7 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert report["summary"]["VA"] == report["summary"]["EX"] == report["summary"]["SIM"] == 1.0 and report["summary"]["n"] == 3
     assert main(["generate", "--data", path, "--db-dir", folder, "--out", str(tmp_path / "p"), "--limit", "2"], spark) == 0
     assert {r["predicted_sql"] for r in spark.read.json(str(tmp_path / "p")).collect()} == {'SELECT * FROM "singer"'}
+    assert main(["evaluate", "--data", path, "--db-dir", folder, "--pred", str(tmp_path / "p"), "--limit", "2"], spark) == 0
     capsys.readouterr()
     assert main(["prompts", "--data", path, "--db-dir", folder, "--index", "0"], spark) == 0
     assert capsys.readouterr().out.strip().endswith("SELECT")
@@ -71,7 +72,7 @@ def test_pipeline_repairs_misspelt_values(spark, folder):
     samples = spark.createDataFrame([(1, "music", "who?", [])], "id long, db_id string, question string, profile_items array<string>")
     replies = [json.dumps({"sql": f"SELECT Name FROM singer WHERE name = '{n}'", "declarations": sheet([NAME])}) for n in ("Balmor", "Balmoor")]
     ask = generate.scripted(spark.createDataFrame([(1, "declare", i, r) for i, r in enumerate(replies)], "id long, stage string, turn int, reply string"))
-    chosen, _ = generate.pipeline(samples, catalog, ask, generate.VARIANTS["sheet"], databases)
+    chosen, _, _ = generate.pipeline(samples, catalog, ask, generate.VARIANTS["sheet"], databases)
     assert [r["pred_sql"] for r in chosen.collect()] == ["SELECT Name FROM singer WHERE name = 'Balmoor'"]
 
 
@@ -81,12 +82,15 @@ def test_pipeline(spark, folder):
     samples = spark.createDataFrame([(1, "music", "who?", []), (2, "music", "what?", [])], "id long, db_id string, question string, profile_items array<string>")
     good = json.dumps({"sql": "SELECT Name FROM singer", "declarations": sheet([NAME])})
     ask = generate.scripted(spark.createDataFrame([(1, "declare", 0, good)], "id long, stage string, turn int, reply string"))
-    chosen, _ = generate.pipeline(samples, catalog, ask, generate.VARIANTS["sheet"], databases)
+    chosen, _, _ = generate.pipeline(samples, catalog, ask, generate.VARIANTS["sheet"], databases)
     assert {r["id"]: r["pred_sql"] for r in chosen.collect()} == {1: "SELECT Name FROM singer", 2: ""}
     three = generate.Variant("three", use_plan=True, n_plans=3)
     script = [(1, "plan", i, f"plan {i}") for i in range(3)] + [(3, "generate", 0, "SELECT 1"), (4, "generate", 0, "SELECT count(*) FROM song"), (5, "generate", 0, "```SELECT 2```")]
-    chosen, candidates = generate.pipeline(samples.where("id = 1"), catalog, generate.scripted(spark.createDataFrame(script, "id long, stage string, turn int, reply string")), three, databases)
+    chosen, candidates, traces = generate.pipeline(samples.where("id = 1"), catalog, generate.scripted(spark.createDataFrame(script, "id long, stage string, turn int, reply string")), three, databases)
     assert [tuple(r) for r in chosen.collect()] == [(1, 1, "SELECT count(*) FROM song")] and candidates.count() == 3
+    trace = json.loads(traces.first()["payload"])
+    assert trace["plans"] == ["plan 0", "plan 1", "plan 2"] and trace["winner"] == 1 and trace["final_sql"] == "SELECT count(*) FROM song"
+    assert [(c["sql"], c["ok"], c["n_rows"], c["checks"]) for c in trace["candidates"]] == [("SELECT 1", True, 1, None), ("SELECT count(*) FROM song", True, 1, None), ("SELECT 2", True, 1, None)]
     shown = generate.preview(samples, generate.VARIANTS["plan_sheet_rules"]).collect()
     assert len(shown) == 8 and any("K11" in r["content"] for r in shown) and not any("K11" in r["content"] for r in shown if r["stage"] == "plan")
     base = {(r["stage"], r["role"]): r["content"] for r in generate.preview(samples, generate.VARIANTS["plan_sheet"]).collect()}
@@ -95,3 +99,36 @@ def test_pipeline(spark, folder):
     asked = generate.asked_of(chat, lambda row: generate.messages(row, generate.VARIANTS["direct"]), samples.drop("profile_items"))
     planned = generate.plans(samples, asked, generate.VARIANTS["direct"])
     assert {r["sql"] for r in generate.generate(planned, asked).collect()} == {"SELECT 1"}
+
+
+def test_a_run_from_files_to_files(spark, folder, tmp_path, capsys):
+    data = [{"db_id": "music", "query": "SELECT Name FROM singer", "question": 'who "sings"?'}, {"db_id": "music", "query": "SELECT count(*) FROM song", "question": "what ratio?"}]
+    json.dump(data, open(tmp_path / "set.json", "w"))
+    good = json.dumps({"sql": "SELECT Name FROM singer", "declarations": sheet([NAME])})
+    bad = json.dumps({"sql": "SELECT Name FROM singer WHERE Name = 'Balmor'", "declarations": sheet([NAME])})
+    lines = [{"id": 0, "stage": "declare", "turn": 0, "reply": bad}, {"id": 0, "stage": "declare", "turn": 1, "reply": good}, {"id": 1, "stage": "declare", "turn": 0, "reply": good.replace("SELECT Name", "SELECT Age * 0.453592")}]
+    (tmp_path / "replies.json").write_text("\n".join(map(json.dumps, lines)))
+    base = ["--data", str(tmp_path / "set.json"), "--db-dir", folder]
+    out = str(tmp_path / "m_set.json")
+    assert main(["generate", *base, "--model", "sheet", "--replies", str(tmp_path / "replies.json"), "--out", out, "--eval", str(tmp_path / "r")], spark) == 0
+    assert json.load(open(out)) == ["SELECT Name FROM singer", "SELECT Age * 0.453592 FROM singer"]
+    report = json.load(open(tmp_path / "r/set_m.json"))
+    assert [s["match"] for s in report["samples"]] == [True, False] and report["summary"]["n"] == 2
+    traces = {r["idx"]: json.loads(r["payload"]) for r in datasets.load_traces(spark, str(tmp_path / "m_set.trace.json")).collect()}
+    rounds = traces[0]["candidates"][0]["checks"]["rounds"]
+    assert len(rounds) == 2 and rounds[0]["issues"] and not rounds[1]["issues"] and rounds[1]["declarations"]["outputs"] and traces[0]["question"] == 'who "sings"?'
+    assert traces[0]["candidates"][0]["checks"]["passed"] is True and traces[1]["final_sql"] == "SELECT Age * 0.453592 FROM singer"
+    capsys.readouterr()
+    run = ["--pred", out, "--trace", str(tmp_path / "m_set.trace.json"), "--results", str(tmp_path / "r/set_m.json")]
+    assert main(["measure", *base, *run], spark) == 0
+    assert "|C7-const|1        |1     |0      |" in capsys.readouterr().out
+    assert main(["preview", *base, "--index", "1"], spark) == 0
+    assert "what ratio?" in (shown := capsys.readouterr().out) and "K11" in shown and "singer" in shown
+    json.dump(data[:1], open(tmp_path / "set.json", "w"))
+    with pytest.raises(ValueError, match="lengths"):
+        main(["measure", *base, *run], spark)
+    for rows in ([(0, "a\n\"x\""), (1, ""), (2, "问")], []):
+        df = spark.createDataFrame(rows, "idx long, pred_sql string")
+        for at in ("q.json", "q"):
+            datasets.write_predictions(df, str(tmp_path / at))
+            assert sorted(tuple(r) for r in datasets.load_predictions(spark, str(tmp_path / at)).select("idx", "pred_sql").collect()) == rows

@@ -2,7 +2,7 @@ import pytest
 
 from querylens.functions.dialect import Unsupported, to_spark
 from querylens.functions.prompts import CONVENTIONS, Template, conventions_block, fenced
-from querylens.functions.sqltext import extract_sql, outermost_order_by, read
+from querylens.functions.sqltext import extract_sql, has_outermost_order_by, read
 
 
 @pytest.mark.parametrize(
@@ -10,11 +10,12 @@ from querylens.functions.sqltext import extract_sql, outermost_order_by, read
     [
         ("SELECT a FROM t ORDER BY a", True), ("SELECT a FROM t", False), ("SELECT * FROM (SELECT a FROM t ORDER BY a)", False), ("SELECT 'x order by y'", False),
         ("SELECT a FROM t UNION SELECT b FROM u ORDER  \n BY 1", True), ("SELECT row_number() OVER (ORDER BY a) FROM t", False), ("select 'it''s' order by 1", True), ("order (x) by", True),
-        ("SELECT a -- order by\n", True), ('SELECT "order by"', False), ("SELECT `order` by", False), ("reorder by", False), ("", False), (None, False), ("select (a order by b", False), ("'open order by", False),
+        ("SELECT a -- order by\n", True), ('SELECT "order by"', False), ("SELECT `order` by", False), ("reorder by", False), ("", False), (None, False), ("select (a order by b", False), ("'open order by", False), ("select ') order by' from (t) order by 1", True), (") order by", False), ("order, by", True), ("order by1", False), ("a (b (c) order by) ((d)) ORDER\tBY e", True),
     ],
 )
-def test_outermost_order_by(sql, want):
-    assert outermost_order_by(sql) is want
+def test_outermost_order_by(spark, sql, want):
+    df = spark.createDataFrame([(sql,)], "s string")
+    assert df.select(has_outermost_order_by(df.s).alias("o")).first()["o"] is want
 
 
 @pytest.mark.parametrize(
@@ -88,3 +89,14 @@ def test_templates():
     with pytest.raises(ValueError):
         Template("{other}", {"question"})
     assert len(CONVENTIONS) <= 12 and conventions_block("base\n").startswith("base\nK1. ")
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    from querylens.functions.prompts import composed, load_templates
+
+    (tmp_path / "ask.user.txt").write_text('{question} as {"x": 1}\n', encoding="utf-8")
+    found = load_templates(spark, str(tmp_path))
+    assert found["ask.user"].render(question="q") == 'q as {"x": 1}\n' and set(found) == {"ask.user"}
+    plain, ruled = (composed("declare", {"question": "q", "facts": "f", "schema": "s", "plan": "", "issues": "i"}, r) for r in (False, True))
+    assert ruled[0]["content"].startswith(plain[0]["content"]) and "K11" in ruled[0]["content"] and plain[1] == ruled[1] and "Plan" not in plain[1]["content"]
+    assert composed("plan", {"question": "q"}, True) == composed("plan", {"question": "q"})
