@@ -16,10 +16,15 @@ MARKS = "'\"`´‘’‚‛“”„‟‹›«»′″‴‵‶‷「」『』
 UNSEEN = r"[\s\p{Z}\p{Cc}\p{Cf}͏ᅟᅠ឴឵ㅤﾠ︀-️]+"
 
 
+_KEPT = [(w, n) for w, n in zip(WIDE, NARROW) if n not in MARKS]
+#: All in one pass: characters that have a narrow form first, those that go away behind them.
+_FROM = "".join(w for w, _ in _KEPT) + MARKS + "".join(w for w, n in zip(WIDE, NARROW) if n in MARKS and w not in MARKS)
+_TO = "".join(n for _, n in _KEPT)
+
+
 def canonical(text: Column) -> Column:
     """The text without what is form only; null gives the empty text."""
-    shown = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), WIDE, NARROW)), UNSEEN, "")
-    return F.translate(shown, MARKS, "")
+    return F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), _FROM, _TO)), UNSEEN, "")
 
 
 def records(results: DataFrame, lines: DataFrame) -> DataFrame:
@@ -51,6 +56,11 @@ def collapse(rows: DataFrame, ident: str, fields: list[str]) -> tuple[DataFrame,
     return keys, keys.groupBy("h1", "h2", "h3").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
 
 
+def collisions(groups: DataFrame) -> DataFrame:
+    """Rows (h1, h2, n): 128-bit hashes that belong to n different texts, which the third hash tells apart. groups: of collapse()."""
+    return groups.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def found(rows: DataFrame, ident: str, fields: list[str]) -> DataFrame:
     """Rows (first_id, copy_id) for every record but the smallest id of its copies."""
     keys, groups = collapse(rows, ident, fields)

@@ -64,13 +64,38 @@ def _targets(counted: DataFrame, targets: DataFrame, total: float | None) -> tup
     return per, total
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, weight: str | None = None, path: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+def pareto_rank(seed: Column, ident: Column, p: Column) -> Column:
+    """Random odds divided by the odds of inclusion p, brought to 0 to 1 in the same order. Random odds are a hash of seed and id."""
+    u = (F.pmod(F.xxhash64(seed, ident), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))  # kept away from 0 and 1
+    rank = (u / (1 - u)) / (q / (1 - q))
+    return rank / (1 + rank)
+
+
+def factors(cells: list[tuple[str, int, float, float]], aims: dict[str, float]) -> dict[str, float]:
+    """Per source the factor f with which the chances of inclusion min(1, f w) give its aim in tokens. cells: rows (source, cell
+    of w, tokens, w times tokens); cells of large w whose chance would pass 1 are certain and leave the rest to the others."""
+    out = {}
+    for s, aim in aims.items():
+        mine = sorted(((c, t, wt) for of, c, t, wt in cells if of == s), reverse=True)
+        tokens, weighted = float(aim), sum(wt for _, _, wt in mine)
+        for _, t, wt in mine:
+            if weighted <= 0 or tokens / weighted * (wt / t) < 1:
+                break
+            tokens, weighted = tokens - t, weighted - wt
+        out[s] = max(0.0, tokens) / weighted if weighted > 0 else 1e300
+    return out
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, weight: str | None = None, power: float = 0.5, path: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): rows (doc_id, source, tokens, copies), and per target source what was aimed at and reached.
 
     total is the number of tokens to choose; by default, and at most, the largest at which every source that has documents
     can get its share within its max_repeats. A source's aim is met by whole copies of all its documents plus a sample:
     documents are ranked by random odds divided by their odds of inclusion (Rosen's Pareto sampling) and taken until the
-    aim is reached, to the nearest document. weight names a positive column that makes inclusion unequal within a source.
+    aim is reached, to the nearest document. Chances of inclusion are unequal: in proportion to weight, a column of the
+    documents (1 by default; documents of no positive weight come last), times the tokens to the given power, so that by
+    default a document of four times the tokens is twice as likely to be in. Documents whose chance would pass 1 are certain.
     Random odds are a hash of seed and doc_id, so a run repeats itself. Sources without targets are left out; targets
     without documents get nothing and the others keep their proportions. Texts without tokens are never chosen. Repeated
     doc_ids are documents of their own.
@@ -84,16 +109,16 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     counted = cut(counted.where("tokens > 0 and doc_id is not null"))
     per, _ = _targets(counted, wanted, total)
     facts = spark.createDataFrame([(s, float(p["share"]), int(p["cap"]), int(p["have"]), float(p["aim"]), int(p["copies"]), float(p["rest"])) for s, p in sorted(per.items())], "source string, share double, cap int, have long, aim double, copies int, rest double")
-    mean = counted.groupBy("source").agg((F.sum(F.col("tokens") * F.col("weight")) / F.sum("tokens")).alias("_mean"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    # odds of inclusion, kept away from 0 and 1
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("rest") / F.col("have") * F.col("weight") / F.col("_mean")))
-    rank = (u / (1 - u)) / (p / (1 - p))
+    aims = {s: q["rest"] for s, q in per.items()}
+    w = F.greatest(F.lit(1e-12), F.col("weight")) * F.pow("tokens", F.lit(float(power)))
+    near = counted.join(F.broadcast(facts), "source").withColumn("_w", w)
+    spread = near.where("rest > 0").groupBy("source", F.floor(F.log2("_w") * 16).alias("c")).agg(F.sum("tokens").alias("t"), F.sum(F.col("_w") * F.col("tokens")).alias("wt")).collect()
+    scale = spark.createDataFrame(sorted(factors([(r["source"], r["c"], r["t"], r["wt"]) for r in spread], {s: v for s, v in aims.items() if v > 0}).items()), "source string, _f double")
     ranked = (
-        counted.join(F.broadcast(facts), "source").join(F.broadcast(mean.join(F.broadcast(facts.select("source")), "source", "left_semi")), "source")
-        .withColumn("_z", rank / (1 + rank)).withColumn("_c", F.floor(F.col("_z") * CELLS)).withColumn("_f", F.floor((F.col("_z") * CELLS - F.col("_c")) * CELLS))
+        near.join(F.broadcast(scale), "source", "left")
+        .withColumn("_z", pareto_rank(F.lit(seed), F.col("doc_id"), F.coalesce("_f", F.lit(0.0)) * F.col("_w")))
+        .withColumn("_c", F.floor(F.col("_z") * CELLS)).withColumn("_f", F.floor((F.col("_z") * CELLS - F.col("_c")) * CELLS))
     )
-    aims = {s: q["rest"] for s, q in per.items()}
     cells = ranked.where("rest > 0").groupBy("source", "_c").agg(F.sum("tokens").alias("t")).collect()
     at, before = _crossing(((r["source"], r["_c"], r["t"]) for r in cells), aims)
     edge = spark.createDataFrame([(s, c) for s, c in at.items()], "source string, _ec long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from querylens.llm import words
 from querylens.llm.near import buckets
 from querylens.llm.spans import K, LEAST, Text, _least, chains
-from querylens.operators.shared import cut, join_counted, small
+from querylens.operators.shared import cut, join_counted
 
 #: Occurrences of a seed in one block of a tile, and characters of texts in one bucket.
 TILE, BUCKET_CHARS = 1000, 1_000_000
@@ -242,7 +242,7 @@ def all_passages(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     anchors = cut(_anchors(cut(texts.select("cls", "text").mapInArrow(_seeds(least, k), "cls long, seed long, at int").distinct()), buckets))
     need = cut(anchors.select("ba", "bb", "cls").unionByName(anchors.select("ba", "bb", F.col("other").alias("cls"))).distinct())
     involved = classes.join(need.select("cls").distinct(), "cls", "left_semi").select("cls", "first", "last", F.col("first").alias("id"))
-    held = cut(texts.join(small(cut(involved), 200_000), ["cls", "id"]).select("cls", "first", "last", "text"))
+    held = cut(texts.join(involved, ["cls", "id"]).select("cls", "first", "last", "text"))
     none = [F.lit(0).cast(kind).alias(c) for c, kind in (("other", "long"), ("x", "int"), ("y", "int"))]
     rows = held.join(need, "cls").select("ba", "bb", "cls", *none, "first", "last", "text").unionByName(anchors, allowMissingColumns=True)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm import words
 from querylens.llm.near import buckets
-from querylens.operators.shared import cut, join_counted, small
+from querylens.operators.shared import cut, join_counted
 
 LEAST, K = 300, 100
 #: Blocks are of 2**SHIFT windows, fewer if windows are shorter than twice that.
@@ -176,10 +176,10 @@ def matches(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     runs = cut(texts.mapInArrow(_runs(least, k), ROWS))
     groups = cut(_grouped(runs))
     found = _matched(runs, groups.where("first.doc != last.doc"))
-    blocks = cut(texts.join(small(_open(runs, groups), 200_000), "id").mapInArrow(_blocks(least, k), ROWS))
+    blocks = cut(texts.join(_open(runs, groups), "id").mapInArrow(_blocks(least, k), ROWS))
     groups = cut(_grouped(blocks))
     found = found.unionByName(_matched(blocks, groups.where("first.doc != last.doc")))
-    windows = cut(texts.join(small(_open(blocks, groups), 200_000), "id").mapInArrow(_windows(least), ROWS))
+    windows = cut(texts.join(_open(blocks, groups), "id").mapInArrow(_windows(least), ROWS))
     return found.unionByName(_matched(windows, cut(_grouped(windows).where("first.doc != last.doc"))))
 
 

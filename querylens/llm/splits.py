@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm.families import name_key, roots
-from querylens.operators.shared import HOT_PART, cut, with_position
+from querylens.operators.shared import cut, join_counted, with_position
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -22,38 +22,30 @@ def split_families(rows: DataFrame, registry: DataFrame, ident: str, db: str, sh
     """Rows (id, family, split): shares of all rows, and all rows of a family in one split.
 
     A family is the root database; rows with an unknown name are a family by that name, and each row without a name is a
-    family of its own. Families with more than 1/1000 of all rows (at most 1000) are dealt, largest first, each to the
-    split that lacks most of its share; the rest are dealt systematically within bands of like size, by the shares that
-    are then still open, so that every band is spread over all splits. The shares are met up to the size of one family.
-    Null ids are kept, each repeated row stays.
+    family of its own. Families are stratified by size: a band holds those of 2^k to 2^(k+1) - 1 rows. Bands are dealt from
+    the largest down. Within a band the families lie in random order on a line of rows, which is cut into a stretch for each
+    split, and a family goes to the split in whose stretch its middle lies. A stretch is as long as the share of all rows
+    dealt so far lacks, so what one band leaves uneven the next evens out, and no split is off its share by more than the
+    rows of the largest family. Null ids are kept, each repeated row stays.
+
+    Only sums of a band pass through the driver, and there are at most 63 bands.
     """
     known = resolved(rows, registry, ident, db).withColumn("family", F.coalesce(F.concat(F.lit("r:"), "root_db"), F.concat(F.lit("n:"), "key"), F.concat(F.lit("i:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     known = cut(known.select("id", "family"))
-    sizes = cut(known.groupBy("family").agg(F.count("*").alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sorted(((r["n"], r["family"]) for r in sizes.where(F.col("n") > total / HOT_PART).collect()), key=lambda x: (-x[0], x[1]))
-    open_ = {k: v * total for k, v in shares.items()}
-    dealt = []
-    for n, family in large:
-        to = max(open_, key=lambda k: open_[k])
-        open_[to] -= n
-        dealt.append((family, to))
-    spark = rows.sparkSession
-    few = spark.createDataFrame(dealt, "family string, split string")
-    rest = {k: max(v, 0.0) for k, v in open_.items()}
-    whole = sum(rest.values()) or 1.0
-    bounds, so_far = [], 0.0
-    for k, v in rest.items():
-        so_far += v / whole
-        bounds.append((so_far, k))
-    band = F.floor(F.log2("n")).cast("int")
-    # positions run through all bands; the golden ratio deals neighbours evenly to the open shares
-    placed = with_position(sizes.where(F.col("n") <= total / HOT_PART).withColumn("band", band), [F.col("band"), F.xxhash64("family"), F.col("family")])
-    turn: Column = F.col("position") * F.lit(0.6180339887498949)
-    turn = turn - F.floor(turn)
-    pick = F.lit(bounds[-1][1])
-    for bound, k in reversed(bounds[:-1]):
-        pick = F.when(turn < bound, F.lit(k)).otherwise(pick)
-    deal = placed.select("family", pick.alias("split"))
-    hot = known.join(F.broadcast(few), "family")
-    return hot.unionByName(known.join(F.broadcast(few.select("family")), "family", "left_anti").join(deal, "family"))
+    sizes = cut(known.groupBy("family").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log2("n")).cast("int")))
+    placed = cut(with_position(sizes, [F.col("band"), F.xxhash64("family"), F.col("family")], "before", F.col("n")))
+    bands = sorted(((r["band"], r["before"], r["n"]) for r in placed.groupBy("band").agg(F.min("before").alias("before"), F.sum("n").alias("n")).collect()), reverse=True)
+    middle, got, so_far, pick = F.col("before") + F.col("n") / 2, dict.fromkeys(shares, 0), 0, F.lit(next(reversed(shares)))
+    whole = sum(shares.values())
+    for band, begin, n in bands:
+        so_far += n
+        lacks = {k: max(0.0, v / whole * so_far - got[k]) for k, v in shares.items()}
+        end, stretch = float(begin), F
+        for k, v in lacks.items():
+            end += v * n / sum(lacks.values())
+            stretch = stretch.when(middle < end, F.lit(k))
+        stretch = stretch.otherwise(F.lit(k))
+        for r in placed.where(F.col("band") == band).groupBy(stretch.alias("split")).agg(F.sum("n").alias("n")).collect():
+            got[r["split"]] += r["n"]
+        pick = F.when(F.col("band") == band, stretch).otherwise(pick)
+    return join_counted(known, cut(placed.select("family", "n", pick.alias("split"))), ["family"], "n").select("id", "family", "split")

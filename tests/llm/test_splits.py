@@ -38,6 +38,25 @@ def test_splits(spark):
     assert split_families(df.limit(0), registry, "sample_id", "db_id").count() == 0
 
 
+def test_shares_whatever_the_sizes(spark):
+    """No split is off by more than the largest family; every band of many families is spread over all splits."""
+    registry = spark.createDataFrame([], REGISTRY)
+    for sizes in ([700, 90, 80, 70, 30, 20, 5, 3, 1, 1], [40] * 30, [2**k for k in range(10)], [1] * 500, [900, 1]):
+        rows = [(len(sizes) * n + i, f"f{i}", "", "") for i, m in enumerate(sizes) for n in range(m)]
+        got = split_families(spark.createDataFrame(rows, "sample_id long, db_id string, family string, split string"), registry, "sample_id", "db_id").groupBy("split").count().collect()
+        n = {r["split"]: r["count"] for r in got}
+        assert sum(n.values()) == len(rows)
+        for split, share in {"train": 0.8, "validation": 0.1, "test": 0.1}.items():
+            assert abs(n.get(split, 0) - share * len(rows)) <= max(sizes)
+
+
+def test_weights_of_edges(spark):
+    rows = [("a", "b", "2024-01-01"), ("b", "c", "2024-01-03"), ("c", "a", "2024-02-01"), ("d", "a", None)]
+    df = spark.createDataFrame(rows, "db_id string, derived_from string, t string").selectExpr("*", "cast(t as timestamp) registered_at")
+    forest = {(r["a"], r["b"], r["weight"]) for r in roots(df)[1].collect()}
+    assert forest == {("a", "b", 2.0), ("b", "c", 29.0), ("a", "d", 0.0)}
+
+
 def test_forest_and_components(spark):
     links = [(i, i + 1, float(i % 5)) for i in range(0, 40)] + [(i, i + 7, 9.0) for i in range(0, 30)] + [(100, 101, 1.0), (101, 100, 0.5), (7, 7, 1.0), (None, 3, 1.0)]
     df = spark.createDataFrame(links, "a long, b long, w double")
