@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +20,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm import words
+from querylens.operators.shared import cut
 
 WINDOW = 12
+#: Steps sampled in a repetition, and the stretch of the walk that they are sampled from.
+STEPS, SPAN = 5, 10
 #: Characters of passages in one block, which bounds what is collected and broadcast; one longer passage is a block itself.
 BLOCK_CHARS = 8_000_000
 #: Pairs of windows that are compared at once.
 CANDIDATES = 100_000
 
 
-def repeats(window: int, edits: int, steps: int, recall: float) -> int:
-    """Repetitions that reach the recall: a word inserted, dropped or replaced changes up to 6 steps (simulated walks: 5.6 for a
-    word inserted or dropped, 5.2 each for two)."""
+def _planted(window: int, kinds: tuple[str, ...], n: int, seed: int) -> tuple[np.ndarray, list[list[int]]]:
+    """So many random windows and each with one edit of every kind in kinds, as hashes of words."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 2**63, (n, window), dtype=np.uint64)
+    edited = []
+    for row in a.tolist():
+        for kind in kinds:
+            at, word = int(rng.integers(0, len(row))), int(rng.integers(1, 2**63))
+            row[at : at + (kind != "insert")] = [] if kind == "drop" else [word]
+        edited.append(row)
+    return a, edited
+
+
+def measured_recall(window: int, kinds: tuple[str, ...], plan_: list[np.ndarray], n: int = 2000, seed: int = 5) -> float:
+    """The part of planted windows that meet their originals in some repetition."""
+    a, edited = _planted(window, kinds, n, seed)
+    size = np.fromiter(map(len, edited), np.int64, n)
+    h, codes = np.unique(np.r_[a.ravel(), np.fromiter((w for e in edited for w in e), np.uint64, int(size.sum()))], return_inverse=True)
+    at, other = np.arange(n) * window, n * window + np.cumsum(size) - size
+    met = np.zeros(n, bool)
+    for r, steps in enumerate(plan_):
+        mine = walks(h, codes, at, [window], steps, r)[0]
+        for s in np.unique(size):
+            of = size == s
+            met[of] |= mine[of] == walks(h, codes, other[of], [int(s)], steps, r)[0]
+    return float(met.mean())
+
+
+def edits_of(edits: int, uneven: bool) -> list[tuple[str, ...]]:
+    """The kinds of edits that windows within the distance may have."""
+    kinds = [c for c in combinations_with_replacement(("replace", "insert", "drop"), edits)]
+    return kinds if uneven else [k for k in kinds if k.count("insert") == k.count("drop")] or [("replace",) * edits]
+
+
+@lru_cache(maxsize=16)
+def _plan(window: int, edits: int, recall: float, seed: int, uneven: bool) -> tuple[np.ndarray, ...]:
+    rng = np.random.default_rng(seed)
     if edits == 0:
-        return 1
-    agree = max(0.05, 1 - min(0.95, 6.0 * edits / (3 * window))) ** steps
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+        return (np.sort(rng.choice(3 * window, window, replace=False)),)
+    span = min(SPAN, 2 * window)
+    for n in range(2, 200):
+        first = [round((2 * window - span) * i / (n - 1)) for i in range(n)]
+        steps = tuple(np.sort(f + rng.choice(span, min(STEPS, span), replace=False)) for f in first)
+        if all(measured_recall(window, k, steps) >= recall + 0.01 for k in edits_of(edits, uneven)):
+            return steps
+    raise ValueError(f"no plan reaches a recall of {recall} with {edits} edits in {window} words")
 
 
-def plan(window: int, edits: int, recall: float, seed: int) -> list[np.ndarray]:
-    """The sampled steps of each repetition, in order."""
-    steps = window if edits == 0 else 4
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(3 * window, steps, replace=False)) for _ in range(repeats(window, edits, steps, recall))]
+def plan(window: int, edits: int, recall: float, seed: int, uneven: bool = False) -> list[np.ndarray]:
+    """The sampled steps of each repetition, in order. Equal windows agree on all steps, so without edits one repetition that
+    samples as many steps as words finds all. With edits each repetition samples some steps of one stretch of the walk, and
+    stretches lie evenly over the steps in which a window is walked: an edit disturbs those around it. There are as many
+    repetitions as planted windows need that every kind of edit is found with the recall, measured each time."""
+    return list(_plan(window, edits, recall, seed, uneven))
 
 
 def walks(hashes: np.ndarray, codes: np.ndarray, at: np.ndarray, sizes: range | list[int], steps: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -97,7 +142,7 @@ def _items(ids: list[int], passages: list[str], window: int, steps: list[np.ndar
         k = walks(hashes, codes, at, [window], s, r)[0] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(k, kind="stable")
         keys.append((k[order], order))
-    return {"keys": keys, "ids": np.array(ids, np.int64)[rows[at]] if len(at) else np.zeros(0, np.int64), "windows": [[different[c] for c in codes[p : p + window]] for p in at.tolist()], "grams": h[at[:, None] + np.arange(window)], "known": np.sort(words.hashes(different))}
+    return {"keys": keys, "ids": np.array(ids, np.int64)[rows[at]] if len(at) else np.zeros(0, np.int64), "codes": codes[at[:, None] + np.arange(window)], "words": different, "grams": h[at[:, None] + np.arange(window)], "known": np.sort(words.hashes(different))}
 
 
 def _scan(block, window: int, edits: int, steps: list[np.ndarray], slack: int):
@@ -139,7 +184,7 @@ def _scan(block, window: int, edits: int, steps: list[np.ndarray], slack: int):
                     for i, p, q in zip(d[near].tolist(), at[x[near]].tolist(), w[near].tolist()):
                         pair = (int(items["ids"][q]), docs[rows[p]])
                         if i < best.get(pair, edits + 1):
-                            i = edit_distance([different[c] for c in codes[p : p + size].tolist()], items["windows"][q], edits)
+                            i = edit_distance([different[c] for c in codes[p : p + size].tolist()], [items["words"][c] for c in items["codes"][q].tolist()], edits)
                             if i < best.get(pair, edits + 1):
                                 best[pair] = i
             if best:
@@ -155,17 +200,20 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
 
     With edits = 0 equal windows always meet, so recall is 1. Passages shorter than the window are in no case, nor are null
     texts and rows without an id; a repeated item_id or doc_id counts as one with all its texts. edits is the least number
-    found. Items are taken in blocks of bounded size, each against all documents.
+    found. Items are taken in blocks of bounded size, one after the other, each against all documents.
     """
     sides = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage")
     total = sides.agg(F.sum(F.length("passage"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
-    steps = plan(window, edits, recall, seed)
+    steps = plan(window, edits, recall, seed, uneven)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = None
     for b in range(blocks):
         part = sides.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).toArrow().to_pydict()
         block = documents.sparkSession.sparkContext.broadcast(_items(part["item_id"], part["passage"], window, steps))
         some = texts.mapInArrow(_scan(block, window, edits, steps, edits if uneven else 0), "item_id long, doc_id long, edits int")
+        if blocks > 1:  # one block at a time is held by driver and executors
+            some = cut(some)
+            block.destroy()
         found = some if found is None else found.unionByName(some)
     return found.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))

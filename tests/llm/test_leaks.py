@@ -75,6 +75,26 @@ def test_words_inserted_and_dropped(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 5
 
 
+def test_recall_of_planted_windows():
+    """Each kind of edit on 10,000 windows that the plan has not seen; agreement by the walk, then all within the distance."""
+    from querylens.llm.leaks import edits_of, measured_recall, plan
+
+    for edits, uneven in ((1, True), (1, False), (2, False), (2, True)):
+        steps = plan(12, edits, 0.95, 1, uneven)
+        for kinds in edits_of(edits, uneven):
+            assert measured_recall(12, kinds, steps, 10_000, seed=99) >= 0.95, (edits, kinds, len(steps))
+    assert edits_of(1, False) == [("replace",)] and len(edits_of(2, True)) == 6
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    from querylens.llm import leaks as module
+
+    docs, items = make(4)
+    want = found(spark, docs, items)
+    monkeypatch.setattr(module, "BLOCK_CHARS", 300)
+    assert found(spark, docs, items) == want == brute(docs, items, 12, 0)
+
+
 def test_odd_rows(spark):
     twelve = "a b c d e f g h i j k l"
     docs = [(1, None, 0, 0), (2, "", 0, 0), (3, twelve.replace(" ", "\n--\n"), 0, 0), (None, twelve, 0, 0), (4, "x " * 300_000 + twelve, 0, 0), (5, twelve[:-2], 0, 0), (3, "z", 0, 0)]
