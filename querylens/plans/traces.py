@@ -37,7 +37,12 @@ def p4_considered(spark: SparkSession, d: str) -> DataFrame:
     return _flat(nested.considered(table(spark, d, "traces")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_candidates, p4_rounds, p4_outputs, p4_assumptions, p4_considered)}
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated ancestors that the payloads hold, found from their arrays."""
+    return nested.repeated_paths(table(spark, d, "traces"), "payload")
+
+
+QUERIES = {f.__name__: f for f in (p4_paths, p4_found, p4_candidates, p4_rounds, p4_outputs, p4_assumptions, p4_considered)}
 
 
 def _object(x: str) -> str:
@@ -76,3 +81,6 @@ ORACLE: dict[str, str] = {
     "p4_candidates": f"WITH {_CAND} SELECT trace_id, candidate_no, cand ->> 'plan' AS plan, cand ->> 'sql' AS sql, cand ->> 'ok' AS ok, cand ->> 'error' AS error, cand ->> 'n_rows' AS n_rows, chk ->> 'passed' AS passed FROM c JOIN k USING (trace_id, candidate_no)",
     "p4_rounds": f"""WITH {_CAND} SELECT trace_id, candidate_no, round_no, rnd ->> 'sql' AS sql, {_object("d -> 'time_context'")} ->> 'displaced' AS displaced, {_object("d -> 'time_context'")} ->> 'reference' AS reference FROM r JOIN decl USING (trace_id, candidate_no, round_no)""",
 }
+
+ORACLE["p4_paths"] = r"""SELECT regexp_replace(replace(j.fullkey, '"', ''), '\[[0-9]+\]', '[]', 'g')[3:] AS path, count(*) AS n_arrays, sum(json_array_length(j.value))::BIGINT AS n_elements
+  FROM (SELECT payload FROM traces WHERE json_valid(payload)) t, json_tree(t.payload) j WHERE j.type = 'ARRAY' GROUP BY 1"""

@@ -1,6 +1,7 @@
 import json
+import random
 
-from querylens.operators.nested import TRACE, candidates, considered, outputs, rounds, triples
+from querylens.operators.nested import TRACE, Invalid, Tokens, repeated_paths, candidates, considered, outputs, rounds, triples
 
 SCHEMA = "trace_id long, payload string, record string, version int"
 
@@ -42,3 +43,55 @@ def test_triples_hold_every_value(spark):
     p = {"question": "q", "plans": ["a", None, "b"], "candidates": [{"n_rows": 3, "checks": {"passed": True}}]}
     got = {(r["path"], tuple(r["ordinals"]), r["leaf"], r["value"]) for r in triples(spark.createDataFrame([(1, json.dumps(p), "", 0)], SCHEMA), "trace_id", "payload", TRACE).collect()}
     assert got == {("", (), "question", "q"), ("plans", (0,), "", "a"), ("plans", (2,), "", "b"), ("candidates", (0,), "", None), ("candidates", (0,), "n_rows", "3"), ("candidates", (0,), "checks.passed", "true")}
+
+
+def strict(text):
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=refuse)
+        return True
+    except ValueError:
+        return False
+
+
+def test_validity_is_that_of_strict_json():
+    r = random.Random(4)
+    base = ['{"a": [1, -2.5e+3, {"b": null}], "c": "x\\u00e9\\n\\"", "d": true}', "[[], {}, [[0]], 0.1]", ' {"k": {"k": {"k": []}}} ', '"s"', "12", "[1,2", '{"a" 1}']
+    for _ in range(6000):
+        t = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(['"', "{", "}", "[", "]", ",", ":", "0", "1", "-", ".", "e", "\\", " ", "\t", "\x0b", "null", "tru", ""])
+        text = "".join(t)
+        try:
+            tokens = Tokens(text)
+            tokens.skip()
+            tokens.end()
+            valid = True
+        except Invalid:
+            valid = False
+        assert valid == strict(text), text
+
+
+def test_deep_and_odd_values(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    texts = {
+        1: '{"unknown": %s, "candidates": [{"sql": "a", "n_rows": %s}]}' % (deep, "9" * 6000),
+        2: '{"candidates": [{"sql": "\\ud800x", "n_rows": 1.50, "plan": {"b":[1, 2.0]}}], "candidates": [{"sql": "last"}, {"sql": "\\ud83d\\ude00"}]}',
+        3: '{"candidates": [{"sql": "a", "sql": "b", "sql": null, "plan": {"b":[1,2.50]}}]}',
+        4: '{"candidates": [{"sql": "a"}]} x', 5: '{"candidates": [{"sql": "a"},]}', 6: '{"candidates": "[{\\"sql\\": \\"in\\"}, "}',
+    }
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], SCHEMA)
+    got = {(r["record"], r["candidate_no"]): (r["sql"], r["n_rows"], r["plan"]) for r in candidates(df).collect()}
+    assert got == {(1, 0): ("a", "9" * 6000, None), (2, 0): ("last", None, None), (2, 1): ("\U0001f600", None, None), (3, 0): (None, None, '{"b": [1, 2.50]}')}
+    lone = spark.createDataFrame([(1, '{"candidates": [{"sql": "\\ud800x"}]}', "", 0)], SCHEMA)
+    assert candidates(lone).first()["sql"] == "\ufffdx"
+
+
+def test_repeated_paths(spark):
+    texts = ['{"a": [1, [2, 3], {"b": []}], "c": {"d": [{"e": [0]}, {"e": [1, 2]}]}}', '[{"x": [1]}]', '{"a": [}', None, "", "3"]
+    df = spark.createDataFrame([(t,) for t in texts], "payload string")
+    got = {r["path"]: (r["n_arrays"], r["n_elements"]) for r in repeated_paths(df, "payload").collect()}
+    assert got == {"a": (1, 3), "a[]": (1, 2), "a[].b": (1, 0), "c.d": (1, 2), "c.d[].e": (2, 3), "": (1, 1), "[].x": (1, 1)}
