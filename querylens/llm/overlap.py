@@ -1,9 +1,12 @@
-"""Problem 5: records of evaluation splits that also occur in training.
+"""Problem 5: records of evaluation splits that also occur in training, found by Aho-Corasick automata over their pieces.
 
-The cases are pairs within one group of problem 1, closed over chains and blind to word order. Finding passages can't give
-that (moved words break every passage, and chains run over records of any split), so the pairs come from the tiled
-comparison of problem 1. The Aho-Corasick scan gives what it can give exactly: which words of an evaluation record stand
-in passages of five words or more of training texts on the same data, merged into a coverage per record.
+Words may be moved, so each record is its words in one order of all words, rare ones first. Two alike records differ in at
+most widest(n) words, n being the words of either. A record is cut into one piece more than that: a word that only this
+record has spoils the piece it is in, one that only the other has spoils the piece it falls into, so one piece at least
+stands unbroken in the other record. Automata of the pieces scan all records and lose no pair; exact counts of words decide.
+
+Groups are closed over chains through records of any split and data. So the pieces of evaluation records come first, then
+those of the records they are alike to, until there are none left.
 """
 
 from __future__ import annotations
@@ -18,13 +21,22 @@ from pyspark.sql import functions as F
 
 from querylens.llm import words
 from querylens.llm.families import name_key, roots
-from querylens.llm.near import near_groups
-from querylens.operators.shared import cut, small
+from querylens.llm.graph import components
+from querylens.llm.near import in_order, proven, radius, sketches, texts_of, widest, word_counts
+from querylens.operators.shared import cut, forget, small
 
 TRAIN, EVALUATION = ["train"], ["dev", "test"]
 SHINGLE = 5
 #: Passages in one automaton and texts that it scans, which bound what a task holds.
 SHARD, CHUNK = 200_000, 50_000
+#: Words of a piece at most, and records expected to hold a piece, from which it needn't be longer.
+PIECE, ENOUGH = 8, 4
+#: Pieces in one automaton, and records with one head beyond which it is dealt to several automata.
+PIECES, SUB = 50_000, 20_000
+#: Heads of pieces are marked in 2**HEADS bits, which bounds what is broadcast to 8 MB; so many pieces are searched for at a time.
+HEADS, AT_ONCE = 26, 16_000_000
+#: Rounds through chains, after which all records left are searched for at once.
+ROUNDS = 4
 
 
 def _with_roots(samples: DataFrame, registry: DataFrame) -> DataFrame:
@@ -33,14 +45,249 @@ def _with_roots(samples: DataFrame, registry: DataFrame) -> DataFrame:
     return samples.withColumn("_key", name_key(F.col("db_id"))).join(of.select(F.col("key").alias("_key"), "root_db"), "_key").where("root_db is not null")
 
 
-def overlaps(samples: DataFrame, registry: DataFrame) -> DataFrame:
+def pieces(begin: np.ndarray, n: np.ndarray, often: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): widest(n) + 1 pieces of each row's words, which begin at `begin` and are ordered rare ones first.
+
+    A piece ends where, were words independent, no more than ENOUGH of all rows would hold it, or at PIECE words, but always so that
+    each piece left gets a word. Pieces follow each other; what is behind the last is in none."""
+    weight = np.maximum(np.log2(max(total, 2) / np.maximum(often, 1)), 0.05)
+    so_far, enough = np.r_[0.0, np.cumsum(weight)], max(0.1, np.log2(max(total, 2) / ENOUGH))
+    left, at, live, out = widest(n), begin.copy(), np.flatnonzero(n > 0), []
+    stop = begin + n
+    while len(live):
+        p = at[live]
+        end = np.searchsorted(so_far, so_far[p] + enough - 1e-9)
+        end = np.minimum(np.clip(end, p + 1, p + PIECE), stop[live] - left[live])
+        out.append(np.stack([live, p, end]))
+        at[live] = end
+        left[live] -= 1
+        live = live[left[live] >= 0]
+    row, start, end = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    order = np.lexsort((start, row))
+    return row[order], start[order], end[order]
+
+
+LAID = "id long, split string, root_db string, k1 long, k2 long, n int, s1 long, s2 long, words array<int>, ends array<int>"
+
+
+def _lay(counts, total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counts.value
+        for batch in words.slices(batches, ("_a", "_b")):
+            m = batch.num_rows
+            rows, t, often = in_order(texts_of(batch), count)
+            n = np.bincount(rows, minlength=m).astype(np.int64)
+            begin = np.cumsum(n) - n
+            of, _, end = pieces(begin, n, often, total)
+            out = sketches(rows, t, m)
+            codes = (t >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(x, minlength=m))].astype(np.int32)), pa.array(y.astype(np.int32))) for x, y in ((rows, codes), (of, end - begin[of]))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("split"), batch.column("root_db"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), *(pa.array(out[k].view(np.int64)) for k in ("s1", "s2")), *lists],
+                [c.split()[0] for c in LAID.split(", ")],
+            )
+
+    return run
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column and where each list begins, with the end of the last."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+def _heads(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """By what pieces and places of texts are dealt to automata: the first word of a piece of one word, else the first two."""
+    h = words.mix(first.view(np.uint32).astype(np.uint64) + np.uint64(1))
+    return h if second is None else words.mix(h * words.GOLD + second.view(np.uint32).astype(np.uint64))
+
+
+DEALT = "head long, id long, n int, s1 long, s2 long, letters array<int>"
+
+
+def _dealt(batch: pa.RecordBatch, head: np.ndarray, row: np.ndarray, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    size = end - start
+    ends = np.r_[0, np.cumsum(size)]
+    letters = flat[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(start, size)]
+    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", "n", "s1", "s2")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(letters))], [c.split()[0] for c in DEALT.split(", ")])
+
+
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat, at = _flat(batch.column("words"))
+        ends, of = _flat(batch.column("ends"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(of))
+        if len(row):
+            end = ends + at[row]
+            start = np.where(np.r_[True, row[1:] != row[:-1]], at[row], np.r_[0, end[:-1]])
+            one = end - start == 1
+            head = np.where(one, _heads(flat[start], None), _heads(flat[start], flat[np.minimum(start + 1, len(flat) - 1)]))
+            yield _dealt(batch, head, row, flat, start, end)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = np.unique(batch.column("head").to_numpy().view(np.uint64) >> np.uint64(64 - HEADS)).astype(np.int64)
+        word = bit >> 6
+        if len(bit):
+            begin = words.starts(word)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), begin)
+            yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+
+def _fragments(marks):
+    """The places of texts where a piece may begin, with the words from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = marks.value
+        for batch in batches:
+            flat, at = _flat(batch.column("words"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            if not len(row):
+                continue
+            place, stop = np.arange(len(flat)), at[row + 1]
+            for second in (None, np.r_[flat[1:], flat[:1]]):
+                head = _heads(flat, second)
+                bit = head >> np.uint64(64 - HEADS)
+                hit = (marked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                here = np.flatnonzero(hit & (place + (second is not None) < stop))
+                if len(here):
+                    yield _dealt(batch, head[here], row[here], flat, here, here + 1 if second is None else np.minimum(here + PIECE, stop[here]))
+
+    return run
+
+
+class _Machine:
+    """The automaton of the pieces of one shard. Equal pieces are one; their records are listed beside it."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        kinds: dict[tuple, int] = {}
+        which = [kinds.setdefault(tuple(x), len(kinds)) for p in parts for x in _unsigned(p.column("letters"))]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for letters, i in kinds.items():
+            self.machine.add_word(letters, i)
+        self.machine.make_automaton()
+        order = np.argsort(np.array(which), kind="stable")
+        self.size = np.bincount(np.array(which), minlength=len(kinds))
+        self.begin = np.cumsum(self.size) - self.size
+        columns = (np.concatenate([p.column(c).to_numpy() for p in parts])[order] for c in ("id", "n", "s1", "s2"))
+        self.id, self.n, self.s1, self.s2 = columns
+        self.s1, self.s2 = self.s1.view(np.uint64), self.s2.view(np.uint64)
+
+    def scan(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """Pairs (smaller id, larger id) of records whose sketches lie within the radius."""
+        text, kind = [], []
+        for r, letters in enumerate(_unsigned(batch.column("letters"))):
+            for _, i in self.machine.iter(tuple(letters)):
+                text.append(r)
+                kind.append(i)
+        if not text:
+            return
+        text, kind = np.array(text), np.array(kind)
+        ident, n, s1, s2 = (batch.column(c).to_numpy() for c in ("id", "n", "s1", "s2"))
+        upto = np.cumsum(self.size[kind])
+        for part in np.split(np.arange(len(text)), np.searchsorted(upto, np.arange(2_000_000, int(upto[-1]), 2_000_000))):
+            size = self.size[kind[part]]
+            x = np.repeat(text[part], size)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[kind[part]], size)
+            apart = np.bitwise_count(s1[x].view(np.uint64) ^ self.s1[y]).astype(np.int32) + np.bitwise_count(s2[x].view(np.uint64) ^ self.s2[y])
+            near = (apart <= radius(n[x], self.n[y])) & (ident[x] != self.id[y])
+            if near.any():
+                a, b = ident[x[near]], self.id[y[near]]
+                yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _unsigned(column) -> list[list[int]]:
+    flat, at = _flat(column)
+    flat, at = flat.view(np.uint32).tolist(), at.tolist()
+    return [flat[lo:hi] for lo, hi in zip(at, at[1:])]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b). Batches are sorted by shard, pieces before texts, so one automaton is held at a time and texts
+    stream past it."""
+    shard, parts, machine = None, [], None
+    for batch in batches:
+        of, text = batch.column("shard").to_numpy(), batch.column("text").to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (text[1:] != text[:-1])]) if len(of) else []
+        for lo, hi in zip(runs, np.r_[runs[1:], len(of)].astype(int) if len(of) else []):
+            run = batch.slice(lo, hi - lo)
+            if of[lo] != shard:
+                shard, parts, machine = of[lo], [], None
+            if not text[lo]:
+                parts.append(run)
+                continue
+            if machine is None and parts:
+                machine, parts = _Machine(parts), []
+            for both in machine.scan(run) if machine else ():
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
+def _links(classes: DataFrame, searched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Proven links (a, b) between the classes searched for, (id), and all classes, as a written table."""
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pats = cut(classes.join(searched, "id", "left_semi").mapInArrow(_patterns, DEALT))
+    n = pats.count()
+    found = None
+    for block in range(max(1, -(-n // AT_ONCE))):
+        some = pats if n <= AT_ONCE else pats.where(F.pmod("head", F.lit(-(-n // AT_ONCE))) == block)
+        marked = np.zeros(1 << (HEADS - 6), np.uint64)
+        marks = some.mapInArrow(_marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        marked[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+        shared = spark.sparkContext.broadcast(marked)
+        frags = classes.mapInArrow(_fragments(shared), DEALT)
+        subs = F.lit(0)
+        hot = cut(some.groupBy("head").agg(F.count("*").alias("c")).where(F.col("c") > SUB).select("head", F.ceil(F.col("c") / SUB).cast("int").alias("m")))
+        if hot.take(1):  # at most AT_ONCE / SUB heads
+            some = some.join(F.broadcast(hot), "head", "left").withColumn("sub", F.pmod(F.xxhash64("id"), F.coalesce("m", F.lit(1))).cast("int")).drop("m")
+            frags = frags.join(F.broadcast(hot), "head", "left").withColumn("sub", F.explode(F.expr("sequence(0, coalesce(m, 1) - 1)"))).drop("m")
+            subs = F.col("sub")
+        shards = max(parts, -(-n // PIECES))
+        both = some.withColumn("text", F.lit(False)).unionByName(frags.withColumn("text", F.lit(True)))
+        both = both.select(F.pmod(F.xxhash64("head", subs), F.lit(shards)).cast("int").alias("shard"), "text", "id", "n", "s1", "s2", "letters")
+        pairs = cut(both.repartition(parts, "shard").sortWithinPartitions("shard", "text").mapInArrow(_met, "a long, b long").distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        shared.unpersist()
+    links = cut(proven(found.distinct(), texts))
+    forget(pats)
+    return links
+
+
+def overlaps(samples: DataFrame, registry: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows (first_id, second_id, train_id, eval_id): every pair of a train row and a dev or test row in one group of problem 1
-    whose written names belong to one family. Rows without a split, a known name or an id are in no pair."""
-    groups = near_groups(samples, "sample_id", "question", "query")
-    rows = _with_roots(samples.where(F.col("split").isin(TRAIN + EVALUATION)), registry)
-    placed = cut(groups.withColumnRenamed("id", "sample_id").join(rows, "sample_id").select("group_id", "root_db", "sample_id", "split"))
-    train = placed.where(F.col("split").isin(TRAIN)).select("group_id", "root_db", F.col("sample_id").alias("train_id"))
-    held = placed.where(F.col("split").isin(EVALUATION)).select("group_id", "root_db", F.col("sample_id").alias("eval_id"))
+    whose written names belong to one family. Rows without a split, a known name or an id are in no pair, but chains may lead
+    through them. Null texts count as empty; rows without any word are in no group.
+
+    Rows with the same words are one class, so copies are searched for once. Round by round the classes that are new in
+    links are searched for in turn; after the last round all others are at once. The number changes the work, never the result.
+    """
+    spark = samples.sparkSession
+    of, _ = roots(registry)
+    rows = samples.where("sample_id is not null").select(F.col("sample_id").cast("long").alias("id"), "split", name_key(F.col("db_id")).alias("_key"), F.col("question").alias("_a"), F.col("query").alias("_b"))
+    rows = rows.join(of.select(F.col("key").alias("_key"), "root_db"), "_key", "left").select("id", "split", "root_db", "_a", "_b")
+    texts = samples.where("sample_id is not null").select(F.col("sample_id").cast("long").alias("id"), F.col("question").alias("_a"), F.col("query").alias("_b"))
+    shared = spark.sparkContext.broadcast(word_counts(texts))
+    laid = cut(rows.mapInArrow(_lay(shared, samples.count()), LAID).where("n > 0"))
+    held = F.max(F.col("split").isin(EVALUATION) & F.col("root_db").isNotNull()).alias("held")
+    classes = cut(laid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.min_by(F.struct("n", "s1", "s2", "words", "ends"), "id").alias("of")).select("k1", "k2", "id", "held", "of.*"))
+    used = new = cut(classes.where("held").select("id"))
+    links = None
+    for turn in range(rounds + 1):
+        found = _links(classes, new, texts)
+        links = found if links is None else cut(links.unionByName(found).distinct())
+        new = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(used, "id", "left_anti"))
+        if not new.take(1):
+            break
+        if turn == rounds - 1:
+            new = cut(classes.select("id").join(used, "id", "left_anti"))
+        used = cut(used.unionByName(new))
+    labels = components(links)
+    grouped = classes.select("k1", "k2", "id", "held").join(labels, classes.id == labels.node, "left").where("held or component is not null").select("k1", "k2", F.coalesce("component", "id").alias("group_id"))
+    placed = cut(laid.where(F.col("root_db").isNotNull() & F.col("split").isin(TRAIN + EVALUATION)).select("id", "split", "root_db", "k1", "k2").join(grouped, ["k1", "k2"]))
+    forget(classes, laid)
+    train = placed.where(F.col("split").isin(TRAIN)).select("group_id", "root_db", F.col("id").alias("train_id"))
+    held = placed.where(F.col("split").isin(EVALUATION)).select("group_id", "root_db", F.col("id").alias("eval_id"))
     return train.join(held, ["group_id", "root_db"]).select(F.least("train_id", "eval_id").alias("first_id"), F.greatest("train_id", "eval_id").alias("second_id"), "train_id", "eval_id").distinct()
 
 
@@ -85,7 +332,8 @@ def coverage(samples: DataFrame, registry: DataFrame, shard: int = SHARD, chunk:
     """Rows (sample_id, split, source, n_words, n_covered) for the dev and test rows of known families.
 
     n_covered counts the words of question and query that stand in five or more words in a row that a train row of the same
-    family holds too: the union of the matched passages. Passages meet only texts of their family. A family with more
+    family holds too: the union of the matched passages. Words are 32-bit hashes here, so passages of five words that differ count
+    as equal only if each of their different words collides. Passages meet only texts of their family. A family with more
     passages than fit an automaton, or more texts than a task should scan, is cut into shards and chunks, so no task holds
     more than one shard and one chunk, however large a family is. Null texts count as empty; rows without an id are left out.
     """
