@@ -61,23 +61,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How often the words of all rows (_a, _b) fall into each of 2**CELLS cells."""
-    counted = texts.mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def summed(counted: DataFrame) -> np.ndarray:
+    """The sums of rows (cell, n) by cell, of 2**CELLS cells."""
+    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(1 << CELLS, np.int64)
-    count[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    count[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return np.minimum(count, 2**31 - 1).astype(np.int32)
 
 
-def in_order(texts: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text by one order of all words, rare ones first: text, hash of (word, how often it came before) and count."""
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How often the words of all rows (_a, _b) fall into each of 2**CELLS cells."""
+    return summed(texts.mapInArrow(_count, "cell int, n long"))
+
+
+def in_order(texts: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text by one order of all words, rare ones first: text, hash of (word, how often it came before), count and
+    how often it came before."""
     rows, codes, different = words.flat(texts)
     h = words.hashes(different)
     often = count[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
     place = np.empty(len(h), np.int64)
     place[np.lexsort((h, often))] = np.arange(len(h))
     rows, codes, nth = words.ordered(rows, codes, place) if len(rows) else (rows, codes, codes)
-    return rows, words.hashed(h[codes], nth), often[codes]
+    return rows, words.hashed(h[codes], nth), often[codes], nth
 
 
 def sketches(rows: np.ndarray, t: np.ndarray, m: int) -> dict[str, np.ndarray]:
@@ -130,7 +136,7 @@ def _describe(counts, rare: int, long: int):
         count = counts.value
         for batch in words.slices(batches, ("_a", "_b")):
             m = batch.num_rows
-            rows, t, often = in_order(texts_of(batch), count)
+            rows, t, often, _ = in_order(texts_of(batch), count)
             n = np.bincount(rows, minlength=m).astype(np.int64)
             out = sketches(rows, t, m)
             keys = _keys(rows, t, often, n, rare, long) if len(rows) else ((rows, t), (rows, t))

@@ -1,6 +1,7 @@
 """Problem 5: records of evaluation splits that also occur in training, found by Aho-Corasick automata over their pieces.
 
-Words may be moved, so each record is its words in one order of all words, rare ones first. Two alike records differ in at
+Words may be moved, so each record is its words in one order of all words: by octaves of their counts, rare ones first, in each
+octave the first occurrences before the second ones, so that neighbours are different words. Two alike records differ in at
 most widest(n) words, n being the words of either. A record is cut into one piece more than that: a word that only this
 record has spoils the piece it is in, one that only the other has spoils the piece it falls into, so one piece at least
 stands unbroken in the other record. Automata of the pieces scan all records and lose no pair; exact counts of words decide.
@@ -22,19 +23,20 @@ from pyspark.sql import functions as F
 from querylens.llm import words
 from querylens.llm.families import name_key, roots
 from querylens.llm.graph import components
-from querylens.llm.near import in_order, proven, radius, sketches, texts_of, widest, word_counts
+from querylens.llm.near import CELLS, in_order, proven, radius, sketches, summed, texts_of, widest, word_counts
 from querylens.operators.shared import cut, forget, small
 
 TRAIN, EVALUATION = ["train"], ["dev", "test"]
 SHINGLE = 5
 #: Passages in one automaton and texts that it scans, which bound what a task holds.
 SHARD, CHUNK = 200_000, 50_000
-#: Words of a piece at most, and records expected to hold a piece, from which it needn't be longer.
-PIECE, ENOUGH = 8, 4
+#: Words of a piece at most, words by which pieces are dealt, and how often a word may come that is a piece by itself. The last
+#: is below a power of two, so such words come first.
+PIECE, HEAD, ENOUGH = 24, 6, 15
 #: Pieces in one automaton, and records with one head beyond which it is dealt to several automata.
 PIECES, SUB = 50_000, 20_000
-#: Heads of pieces are marked in 2**HEADS bits, which bounds what is broadcast to 8 MB; so many pieces are searched for at a time.
-HEADS, AT_ONCE = 26, 16_000_000
+#: Heads of pieces are marked in 2**HEADS bits, which bounds what is broadcast to 16 MB; so many pieces are searched for at a time.
+HEADS, AT_ONCE = 27, 16_000_000
 #: Rounds through chains, after which all records left are searched for at once.
 ROUNDS = 4
 
@@ -45,19 +47,53 @@ def _with_roots(samples: DataFrame, registry: DataFrame) -> DataFrame:
     return samples.withColumn("_key", name_key(F.col("db_id"))).join(of.select(F.col("key").alias("_key"), "root_db"), "_key").where("root_db is not null")
 
 
-def pieces(begin: np.ndarray, n: np.ndarray, often: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end): widest(n) + 1 pieces of each row's words, which begin at `begin` and are ordered rare ones first.
+def _ordered(batch: pa.RecordBatch, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each record in the order that pieces are cut from: row, hash and count."""
+    rows, t, often, nth = in_order(texts_of(batch), count)
+    order = np.lexsort((np.arange(len(rows)), nth, np.frexp(often)[1], rows))
+    return rows, t[order], often[order]
 
-    A piece ends where, were words independent, no more than ENOUGH of all rows would hold it, or at PIECE words, but always so that
-    each piece left gets a word. Pieces follow each other; what is behind the last is in none."""
-    weight = np.maximum(np.log2(max(total, 2) / np.maximum(often, 1)), 0.05)
-    so_far, enough = np.r_[0.0, np.cumsum(weight)], max(0.1, np.log2(max(total, 2) / ENOUGH))
+
+def _after(t: np.ndarray) -> np.ndarray:
+    """The cell of each word together with the one before it."""
+    return (words.mix(np.r_[np.uint64(0), t[:-1]] * words.GOLD + t) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def _count_after(counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << CELLS, np.int64)
+        for batch in words.slices(batches, ("_a", "_b")):
+            n += np.bincount(_after(_ordered(batch, counts.value)[1]), minlength=len(n))
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
+
+    return run
+
+
+def weights(rows: np.ndarray, often: np.ndarray, both: np.ndarray, total: int) -> np.ndarray:
+    """How much each word tells, in bits: how rare it is, or how rare after the word before it if that is less, as it is in phrases."""
+    alone = np.log2(max(total, 2) / np.maximum(often, 1))
+    after = np.log2(np.r_[1, often[:-1]] / np.maximum(both, 1))
+    return np.maximum(np.where(np.r_[True, rows[1:] != rows[:-1]][: len(rows)], alone, np.minimum(alone, after)), 0.05)
+
+
+def pieces(begin: np.ndarray, n: np.ndarray, often: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): widest(n) + 1 pieces of each row's words, which begin at `begin`.
+
+    Words that came at most ENOUGH times are pieces by themselves, as far as pieces are needed. The pieces then missing are of the
+    other words and tell about as much each by the sums of their weights, so none is held by many records by chance. Each has a word at least and PIECE words at most; what is then left is in none."""
+    so_far, stop = np.r_[0.0, np.cumsum(weight)], begin + n
+    alone = np.r_[0, np.cumsum(often <= ENOUGH)]
     left, at, live, out = widest(n), begin.copy(), np.flatnonzero(n > 0), []
-    stop = begin + n
+    alone = np.minimum(alone[stop] - alone[begin], left + 1)
+    each = (so_far[stop] - so_far[begin + alone]) / np.maximum(left + 1 - alone, 1)
+    turn = 0
     while len(live):
+        turn += 1
         p = at[live]
-        end = np.searchsorted(so_far, so_far[p] + enough - 1e-9)
-        end = np.minimum(np.clip(end, p + 1, p + PIECE), stop[live] - left[live])
+        end = np.searchsorted(so_far, so_far[(begin + alone)[live]] + (turn - alone[live]) * each[live] - 1e-6)
+        end = np.where(turn <= alone[live], p + 1, np.clip(end, p + 1, p + PIECE))
+        end = np.minimum(end, stop[live] - left[live])
         out.append(np.stack([live, p, end]))
         at[live] = end
         left[live] -= 1
@@ -67,23 +103,22 @@ def pieces(begin: np.ndarray, n: np.ndarray, often: np.ndarray, total: int) -> t
     return row[order], start[order], end[order]
 
 
-LAID = "id long, split string, root_db string, k1 long, k2 long, n int, s1 long, s2 long, words array<int>, ends array<int>"
+LAID = "id long, split string, root_db string, k1 long, k2 long, n int, s long, words array<int>, ends array<int>"
 
 
-def _lay(counts, total: int):
+def _lay(counts, afters, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts.value
         for batch in words.slices(batches, ("_a", "_b")):
             m = batch.num_rows
-            rows, t, often = in_order(texts_of(batch), count)
+            rows, t, often = _ordered(batch, counts.value)
             n = np.bincount(rows, minlength=m).astype(np.int64)
             begin = np.cumsum(n) - n
-            of, _, end = pieces(begin, n, often, total)
+            of, _, end = pieces(begin, n, often, weights(rows, often, afters.value[_after(t)], total))
             out = sketches(rows, t, m)
             codes = (t >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(x, minlength=m))].astype(np.int32)), pa.array(y.astype(np.int32))) for x, y in ((rows, codes), (of, end - begin[of]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("split"), batch.column("root_db"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), *(pa.array(out[k].view(np.int64)) for k in ("s1", "s2")), *lists],
+                [batch.column("id"), batch.column("split"), batch.column("root_db"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), pa.array((out["s1"] ^ out["s2"]).view(np.int64)), *lists],
                 [c.split()[0] for c in LAID.split(", ")],
             )
 
@@ -96,20 +131,22 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
 
 
-def _heads(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
-    """By what pieces and places of texts are dealt to automata: the first word of a piece of one word, else the first two."""
-    h = words.mix(first.view(np.uint32).astype(np.uint64) + np.uint64(1))
-    return h if second is None else words.mix(h * words.GOLD + second.view(np.uint32).astype(np.uint64))
+def _heads(flat: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """By what pieces and places of texts are dealt to automata: so many words from start on."""
+    h = np.full(len(start), size, np.uint64)
+    for k in range(size):
+        h = words.mix(h * words.GOLD + flat[np.minimum(start + k, len(flat) - 1)].view(np.uint32).astype(np.uint64) + np.uint64(1))
+    return h
 
 
-DEALT = "head long, id long, n int, s1 long, s2 long, letters array<int>"
+DEALT = "head long, id long, n int, s long, letters array<int>"
 
 
 def _dealt(batch: pa.RecordBatch, head: np.ndarray, row: np.ndarray, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     size = end - start
     ends = np.r_[0, np.cumsum(size)]
     letters = flat[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(start, size)]
-    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", "n", "s1", "s2")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(letters))], [c.split()[0] for c in DEALT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", "n", "s")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(letters))], [c.split()[0] for c in DEALT.split(", ")])
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +157,9 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(row):
             end = ends + at[row]
             start = np.where(np.r_[True, row[1:] != row[:-1]], at[row], np.r_[0, end[:-1]])
-            one = end - start == 1
-            head = np.where(one, _heads(flat[start], None), _heads(flat[start], flat[np.minimum(start + 1, len(flat) - 1)]))
+            size, head = np.minimum(end - start, HEAD), np.zeros(len(row), np.uint64)
+            for k in range(1, HEAD + 1):
+                head[size == k] = _heads(flat, start[size == k], k)
             yield _dealt(batch, head, row, flat, start, end)
 
 
@@ -146,13 +184,13 @@ def _fragments(marks):
             if not len(row):
                 continue
             place, stop = np.arange(len(flat)), at[row + 1]
-            for second in (None, np.r_[flat[1:], flat[:1]]):
-                head = _heads(flat, second)
+            for k in range(1, HEAD + 1):
+                head = _heads(flat, place, k)
                 bit = head >> np.uint64(64 - HEADS)
                 hit = (marked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                here = np.flatnonzero(hit & (place + (second is not None) < stop))
+                here = np.flatnonzero(hit & (place + k <= stop))
                 if len(here):
-                    yield _dealt(batch, head[here], row[here], flat, here, here + 1 if second is None else np.minimum(here + PIECE, stop[here]))
+                    yield _dealt(batch, head[here], row[here], flat, here, here + k if k < HEAD else np.minimum(here + PIECE, stop[here]))
 
     return run
 
@@ -161,46 +199,48 @@ class _Machine:
     """The automaton of the pieces of one shard. Equal pieces are one; their records are listed beside it."""
 
     def __init__(self, parts: list[pa.RecordBatch]):
-        kinds: dict[tuple, int] = {}
-        which = [kinds.setdefault(tuple(x), len(kinds)) for p in parts for x in _unsigned(p.column("letters"))]
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        kinds: dict[str, int] = {}
+        which = [kinds.setdefault(x, len(kinds)) for p in parts for x in _spelled(p.column("letters"))]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for letters, i in kinds.items():
             self.machine.add_word(letters, i)
         self.machine.make_automaton()
         order = np.argsort(np.array(which), kind="stable")
         self.size = np.bincount(np.array(which), minlength=len(kinds))
         self.begin = np.cumsum(self.size) - self.size
-        columns = (np.concatenate([p.column(c).to_numpy() for p in parts])[order] for c in ("id", "n", "s1", "s2"))
-        self.id, self.n, self.s1, self.s2 = columns
-        self.s1, self.s2 = self.s1.view(np.uint64), self.s2.view(np.uint64)
+        self.id, self.n, s = (np.concatenate([p.column(c).to_numpy() for p in parts])[order] for c in ("id", "n", "s"))
+        self.s = s.view(np.uint64)
 
     def scan(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         """Pairs (smaller id, larger id) of records whose sketches lie within the radius."""
         text, kind = [], []
-        for r, letters in enumerate(_unsigned(batch.column("letters"))):
-            for _, i in self.machine.iter(tuple(letters)):
-                text.append(r)
-                kind.append(i)
+        for r, letters in enumerate(_spelled(batch.column("letters"))):
+            for end, i in self.machine.iter(letters):
+                if end & 3 == 3:
+                    text.append(r)
+                    kind.append(i)
         if not text:
             return
         text, kind = np.array(text), np.array(kind)
-        ident, n, s1, s2 = (batch.column(c).to_numpy() for c in ("id", "n", "s1", "s2"))
+        ident, n, s = (batch.column(c).to_numpy() for c in ("id", "n", "s"))
         upto = np.cumsum(self.size[kind])
         for part in np.split(np.arange(len(text)), np.searchsorted(upto, np.arange(2_000_000, int(upto[-1]), 2_000_000))):
             size = self.size[kind[part]]
             x = np.repeat(text[part], size)
             y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[kind[part]], size)
-            apart = np.bitwise_count(s1[x].view(np.uint64) ^ self.s1[y]).astype(np.int32) + np.bitwise_count(s2[x].view(np.uint64) ^ self.s2[y])
+            apart = np.bitwise_count(s[x].view(np.uint64) ^ self.s[y]).astype(np.int32)
             near = (apart <= radius(n[x], self.n[y])) & (ident[x] != self.id[y])
             if near.any():
                 a, b = ident[x[near]], self.id[y[near]]
                 yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
 
 
-def _unsigned(column) -> list[list[int]]:
+def _spelled(column) -> list[str]:
+    """Each list of word hashes as text, four letters below 256 a word: nodes of automata look their letters up one by one, so
+    an alphabet of all words would make the root slow. Only matches that end with a word count."""
     flat, at = _flat(column)
-    flat, at = flat.view(np.uint32).tolist(), at.tolist()
-    return [flat[lo:hi] for lo, hi in zip(at, at[1:])]
+    text, at = flat.astype(">i4").tobytes().decode("latin-1"), (4 * at).tolist()
+    return [text[lo:hi] for lo, hi in zip(at, at[1:])]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +285,7 @@ def _links(classes: DataFrame, searched: DataFrame, texts: DataFrame) -> DataFra
             subs = F.col("sub")
         shards = max(parts, -(-n // PIECES))
         both = some.withColumn("text", F.lit(False)).unionByName(frags.withColumn("text", F.lit(True)))
-        both = both.select(F.pmod(F.xxhash64("head", subs), F.lit(shards)).cast("int").alias("shard"), "text", "id", "n", "s1", "s2", "letters")
+        both = both.select(F.pmod(F.xxhash64("head", subs), F.lit(shards)).cast("int").alias("shard"), "text", "id", "n", "s", "letters")
         pairs = cut(both.repartition(parts, "shard").sortWithinPartitions("shard", "text").mapInArrow(_met, "a long, b long").distinct())
         found = pairs if found is None else found.unionByName(pairs)
         shared.unpersist()
@@ -268,9 +308,12 @@ def overlaps(samples: DataFrame, registry: DataFrame, rounds: int = ROUNDS) -> D
     rows = rows.join(of.select(F.col("key").alias("_key"), "root_db"), "_key", "left").select("id", "split", "root_db", "_a", "_b")
     texts = samples.where("sample_id is not null").select(F.col("sample_id").cast("long").alias("id"), F.col("question").alias("_a"), F.col("query").alias("_b"))
     shared = spark.sparkContext.broadcast(word_counts(texts))
-    laid = cut(rows.mapInArrow(_lay(shared, samples.count()), LAID).where("n > 0"))
+    afters = spark.sparkContext.broadcast(summed(texts.mapInArrow(_count_after(shared), "cell int, n long")))
+    laid = cut(rows.mapInArrow(_lay(shared, afters, samples.count()), LAID).where("n > 0"))
     held = F.max(F.col("split").isin(EVALUATION) & F.col("root_db").isNotNull()).alias("held")
-    classes = cut(laid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.min_by(F.struct("n", "s1", "s2", "words", "ends"), "id").alias("of")).select("k1", "k2", "id", "held", "of.*"))
+    classes = cut(laid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.min_by(F.struct("n", "s", "words", "ends"), "id").alias("of")).select("k1", "k2", "id", "held", "of.*"))
+    full, laid = laid, cut(laid.select("id", "split", "root_db", "k1", "k2"))
+    forget(full)
     used = new = cut(classes.where("held").select("id"))
     links = None
     for turn in range(rounds + 1):
@@ -284,7 +327,7 @@ def overlaps(samples: DataFrame, registry: DataFrame, rounds: int = ROUNDS) -> D
         used = cut(used.unionByName(new))
     labels = components(links)
     grouped = classes.select("k1", "k2", "id", "held").join(labels, classes.id == labels.node, "left").where("held or component is not null").select("k1", "k2", F.coalesce("component", "id").alias("group_id"))
-    placed = cut(laid.where(F.col("root_db").isNotNull() & F.col("split").isin(TRAIN + EVALUATION)).select("id", "split", "root_db", "k1", "k2").join(grouped, ["k1", "k2"]))
+    placed = cut(laid.where(F.col("root_db").isNotNull() & F.col("split").isin(TRAIN + EVALUATION)).join(grouped, ["k1", "k2"]))
     forget(classes, laid)
     train = placed.where(F.col("split").isin(TRAIN)).select("group_id", "root_db", F.col("id").alias("train_id"))
     held = placed.where(F.col("split").isin(EVALUATION)).select("group_id", "root_db", F.col("id").alias("eval_id"))
@@ -311,21 +354,21 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scan(passages: pa.Table, texts: pa.Table) -> pa.Table:
     """The passages (id, place) that stand in one of the texts. One automaton of the different passages, one walk over each
-    text; letters are word hashes, so a passage is five steps deep."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    array = passages.column("passage").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).reshape(-1, SHINGLE)
-    kinds, which = np.unique(array, axis=0, return_inverse=True) if len(array) else (array, np.zeros(0, np.int64))
-    for i, p in enumerate(kinds.tolist()):
-        machine.add_word(tuple(p), i)
+    text, spelled by word hashes."""
+    machine, kinds, which = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, []
+    for chunk in passages.column("passage").chunks:
+        which += [kinds.setdefault(x, len(kinds)) for x in _spelled(chunk)]
+    for x, i in kinds.items():
+        machine.add_word(x, i)
     hit = np.zeros(len(kinds), bool)
-    if len(kinds):
+    if kinds:
         machine.make_automaton()
         for chunk in texts.column("words").chunks:
-            flat, ends = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).tolist(), (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()).tolist()
-            for lo, hi in zip(ends, ends[1:]):
-                for _, i in machine.iter(tuple(flat[lo:hi])):
-                    hit[i] = True
-    return passages.select(["id", "place"]).filter(pa.array(hit[which.ravel()]))
+            for text in _spelled(chunk):
+                for end, i in machine.iter(text):
+                    if end & 3 == 3:
+                        hit[i] = True
+    return passages.select(["id", "place"]).filter(pa.array(hit[np.array(which, np.int64)]))
 
 
 def coverage(samples: DataFrame, registry: DataFrame, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:

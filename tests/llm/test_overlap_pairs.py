@@ -52,7 +52,7 @@ def test_pieces_lose_no_pair():
         shared = len(set(a.tolist()) & set(b))
         if 20 * shared < 17 * max(n, len(b)):
             continue
-        row, start, end = overlap.pieces(np.array([0]), np.array([n]), r.integers(1, 100, n), 1000)
+        row, start, end = overlap.pieces(np.array([0]), np.array([n]), r.integers(1, 100, n), r.random(n) * 9 + 0.05)
         assert len(row) == widest(np.array([n]))[0] + 1 and (end > start).all() and (start[1:] == end[:-1]).all() and end[-1] <= n
-        runs = {tuple(b[i : i + k]) for k in range(1, 9) for i in range(len(b))}
+        runs = {tuple(b[i : i + k]) for k in range(1, 25) for i in range(len(b))}
         assert any(tuple(a[p:q].tolist()) in runs for p, q in zip(start, end))
