@@ -72,20 +72,34 @@ COVER = f"""
   tr AS (SELECT DISTINCT root_db, h FROM sh WHERE split = 'train'),
   cv AS (SELECT sample_id, count(DISTINCT i + j) AS n FROM sh JOIN tr USING (root_db, h), range(0, 5) q(j) WHERE split IN ('dev', 'test') GROUP BY sample_id)"""
 
+OWN = f"""
+  own AS (SELECT coalesce('r:' || root_db, 'n:' || {_key('samples.db_id')}, 'i:' || coalesce(sample_id::VARCHAR, '')) AS family FROM samples LEFT JOIN fam ON {_key('samples.db_id')} = fam.k)"""
+
+
+def _source(name: str) -> str:
+    return f"replace(lower(regexp_replace({name}, '^\\s+|\\s+$', '', 'g')), '-', '_')"
+
+
 ORACLE = {
     "p1_found": f"WITH RECURSIVE {GROUPS} SELECT group_id, sample_id FROM grp WHERE group_id <> sample_id",
     "p1_groups": f"""WITH RECURSIVE {GROUPS}, size AS (SELECT group_id, count(*) AS n FROM grp GROUP BY 1)
         SELECT sample_id, coalesce(group_id, sample_id) AS group_id, coalesce(n, 1)::BIGINT AS group_size FROM samples LEFT JOIN grp USING (sample_id) LEFT JOIN size USING (group_id)""",
-    "p2_forest": f"WITH RECURSIVE {FAMILY} SELECT DISTINCT least(k, parent) AS a, greatest(k, parent) AS b FROM up WHERE parent IS NOT NULL",
+    "p2_forest": f"""WITH RECURSIVE {FAMILY}, day AS (SELECT {_key('db_id')} AS k, arg_min(registered_at::DATE, db_id) AS at FROM db_registry GROUP BY 1)
+        SELECT DISTINCT least(up.k, parent) AS a, greatest(up.k, parent) AS b, coalesce(abs(x.at - y.at), 0)::DOUBLE AS weight FROM up JOIN day x ON x.k = up.k JOIN day y ON y.k = parent WHERE parent IS NOT NULL""",
+    "p2_families": f"WITH RECURSIVE {FAMILY}, {OWN} SELECT family, count(*) AS n_rows, 1::BIGINT AS n_splits FROM own GROUP BY 1",
+    "p2_balance": f"WITH RECURSIVE {FAMILY}, {OWN} SELECT sum(n)::BIGINT AS n_rows, max(n) AS largest, 0::BIGINT AS n_off FROM (SELECT count(*) AS n FROM own GROUP BY family)",
     "p2_found": f"WITH RECURSIVE {FAMILY} SELECT sample_id, root_db FROM samples JOIN fam ON {_key('samples.db_id')} = fam.k WHERE samples.db_id <> root_db",
     "p3_found": f"WITH {RECORDS} SELECT first_id, result_id AS copy_id FROM grp WHERE result_id <> first_id",
     "p3_collapsed": f"WITH {RECORDS} SELECT first_id, count(*) AS copies FROM grp GROUP BY first_id",
+    "p3_summary": f"WITH {RECORDS} SELECT count(*) AS n_records, count(DISTINCT first_id) AS n_different, 0::BIGINT AS n_collisions FROM grp",
     "p5_found": f"WITH RECURSIVE {FAMILY}, {GROUPS}, {PAIRS} SELECT least(train_id, eval_id) AS first_id, greatest(train_id, eval_id) AS second_id FROM pair",
     "p5_report": f"""WITH RECURSIVE {FAMILY}, {GROUPS}, {PAIRS}, per AS (SELECT eval_id AS sample_id, count(*) AS n FROM pair GROUP BY 1)
         SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM samples LEFT JOIN per USING (sample_id) WHERE split IN ('dev', 'test') GROUP BY split, source""",
     "p5_coverage": f"WITH RECURSIVE {FAMILY}, {COVER} SELECT sample_id, split, source, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_covered FROM tx LEFT JOIN cv USING (sample_id) WHERE split IN ('dev', 'test')",
     "p6_found": f"WITH {P6} SELECT DISTINCT item_id, doc_id FROM dn JOIN n USING (h)",
     "p6_items": f"WITH {P6}, f AS (SELECT DISTINCT item_id, doc_id FROM dn JOIN n USING (h)) SELECT e.item_id, suite, kind, count(doc_id) AS n_docs FROM eval_items e LEFT JOIN f ON e.item_id = f.item_id GROUP BY ALL",
+    "p7_limits": f"""WITH d AS (SELECT {_source('source')} AS source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY 1)
+        SELECT t.source, t.max_repeats, coalesce(n, 0)::BIGINT AS n_docs, 0::BIGINT AS n_over, false AS off FROM (SELECT {_source('source')} AS source, max_repeats FROM mix_targets) t LEFT JOIN d USING (source)""",
     "p8_found": f"WITH {P8} SELECT doc_id, span_start, span_end FROM span",
     "p8_shares": f"""WITH {P8}, per AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS n FROM span GROUP BY 1)
         SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars FROM documents LEFT JOIN per USING (doc_id)""",

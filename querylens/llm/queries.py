@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.llm import families, formats, leaks, mixing, near, overlap, passages, spans, splits
@@ -35,9 +35,24 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("id").alias("sample_id"), "family", "split")
 
 
+def p2_families(spark: SparkSession, d: str) -> DataFrame:
+    """Every family with its rows and the number of splits that they are in."""
+    rows = splits.split_families(table(spark, d, "samples"), table(spark, d, "db_registry"), "sample_id", "db_id")
+    return rows.groupBy("family").agg(F.count("*").alias("n_rows"), F.count_distinct("split").alias("n_splits"))
+
+
+def p2_balance(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, those of the largest family, and how many splits are off their share by more than that."""
+    rows = cut(splits.split_families(table(spark, d, "samples"), table(spark, d, "db_registry"), "sample_id", "db_id"))
+    largest, n_rows = rows.groupBy("family").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    want = spark.createDataFrame(list(splits.SHARES.items()), "split string, share double").join(F.broadcast(rows.groupBy("split").agg(F.count("*").alias("n"))), "split", "left")
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * n_rows) > largest
+    return want.agg(F.lit(n_rows).cast("long").alias("n_rows"), F.lit(largest).cast("long").alias("largest"), F.count_if(off).alias("n_off"))
+
+
 def p2_forest(spark: SparkSession, d: str) -> DataFrame:
-    """The spanning forest of families, by keys of names."""
-    return families.roots(table(spark, d, "db_registry"))[1].select("a", "b")
+    """The spanning forest of families, by keys of names; an edge weighs the days between the two registrations."""
+    return families.roots(table(spark, d, "db_registry"))[1]
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +67,13 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formats.collapse(_records(spark, d), "result_id", ["gold_sql", "pred_sql"])[1].select("first_id", "copies")
 
 
+def p3_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Records, different records, and 128-bit hashes that stand for several different texts."""
+    groups = cut(formats.collapse(_records(spark, d), "result_id", ["gold_sql", "pred_sql"])[1])
+    n = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_records"), F.count("*").alias("n_different"))
+    return n.withColumn("n_collisions", F.lit(formats.collisions(groups).count()))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps(table(spark, d, "samples"), table(spark, d, "db_registry")).select("first_id", "second_id")
 
@@ -86,6 +108,24 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Every target source with its documents that have text, the documents chosen more often than max_repeats allows, and whether its
+    share of all tokens is off the aim by more than nine of its longest documents, one for each target; sources without documents aim at nothing."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    chosen, shares = mixing.mix(documents, targets)
+    wanted = targets.select(mixing.source_key(F.col("source")).alias("source"), "max_repeats", "target_share")
+    per = chosen.groupBy("source").agg(F.max("copies").alias("most"), F.max("tokens").alias("longest"))
+    over = chosen.join(F.broadcast(wanted), "source").where("copies > max_repeats").groupBy("source").agg(F.count("*").alias("over"))
+    have = documents.where("doc_id is not null and text != ''").groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("n_docs"))
+    total, share = F.sum("chosen_tokens").over(Window.partitionBy()), F.sum(F.when(F.col("source_tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    aims = shares.select("source", "chosen_tokens", "source_tokens", "target_share", total.alias("total"), share.alias("share"))
+    aim = F.when(F.col("source_tokens") > 0, F.col("total") * F.col("target_share") / F.col("share")).otherwise(0.0)
+    return (
+        aims.join(per, "source", "left").join(over, "source", "left").join(have, "source", "left").join(F.broadcast(wanted.select("source", "max_repeats")), "source")
+        .select("source", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("over", F.lit(0)).alias("n_over"), (F.abs(F.col("chosen_tokens") - aim) > 9 * F.coalesce("longest", F.lit(0)) + 1).alias("off"))
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -98,4 +138,4 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return passages.all_passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_splits, p2_forest, p3_found, p3_collapsed, p5_found, p5_report, p5_coverage, p6_found, p6_items, p6_near, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_splits, p2_families, p2_balance, p2_forest, p3_found, p3_collapsed, p3_summary, p5_found, p5_report, p5_coverage, p6_found, p6_items, p6_near, p7_mix, p7_shares, p7_limits, p8_found, p8_shares, p8_passages)}
