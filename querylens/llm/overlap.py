@@ -24,7 +24,7 @@ from querylens.llm import words
 from querylens.llm.families import name_key, roots
 from querylens.llm.graph import components
 from querylens.llm.near import CELLS, in_order, proven, radius, sketches, summed, texts_of, widest, word_counts
-from querylens.operators.shared import cut, forget, small
+from querylens.operators.shared import cut, forget
 
 TRAIN, EVALUATION = ["train"], ["dev", "test"]
 SHINGLE = 5
@@ -386,7 +386,7 @@ def coverage(samples: DataFrame, registry: DataFrame, shard: int = SHARD, chunk:
     hashed = cut(rows.mapInArrow(_hashed, "id long, family long, held boolean, words array<int>"))
     n_passages = F.sum(F.when(F.col("held"), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0))).otherwise(0))
     sizes = cut(hashed.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(n_passages / shard)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("held")) / chunk)).cast("int").alias("chunks")))
-    sized = hashed.join(small(sizes), "family")
+    sized = hashed.join(sizes, "family")
     places = sized.where(F.col("held") & (F.size("words") >= SHINGLE)).select("id", "family", "shards", "chunks", "words", F.explode(F.expr(f"sequence(0, size(words) - {SHINGLE})")).alias("place")).withColumn("passage", F.expr(f"slice(words, place + 1, {SHINGLE})"))
     left = places.select("id", "place", "passage", "family", F.pmod(F.xxhash64("passage"), F.col("shards")).cast("int").alias("shard"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
     right = sized.where(~F.col("held")).select("words", F.col("family").alias("of_family"), F.explode(F.expr("sequence(0, shards - 1)")).alias("of_shard"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("of_chunk"))
