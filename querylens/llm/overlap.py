@@ -4,7 +4,9 @@ Words may be moved, so each record is its words in one order of all words: by oc
 octave the first occurrences before the second ones, so that neighbours are different words. Two alike records differ in at
 most widest(n) words, n being the words of either. A record is cut into one piece more than that: a word that only this
 record has spoils the piece it is in, one that only the other has spoils the piece it falls into, so one piece at least
-stands unbroken in the other record. Automata of the pieces scan all records and lose no pair; exact counts of words decide.
+stands unbroken in the other record. Where a record's first words are rare, fewer pieces do: a piece of one word is spoiled
+only by the record's own words, of which at most spare(n) are missing in the other, so the first spare(n) + 1 words hold one that is not.
+Automata of the pieces scan all records and lose no pair; exact counts of words decide.
 
 Groups are closed over chains through records of any split and data. So the pieces of evaluation records come first, then
 those of the records they are alike to, until there are none left.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from querylens.llm import words
 from querylens.llm.families import name_key, roots
 from querylens.llm.graph import components
-from querylens.llm.near import CELLS, in_order, proven, radius, sketches, summed, texts_of, widest, word_counts
+from querylens.llm.near import CELLS, RARE, in_order, least_shared, proven, radius, sketches, summed, texts_of, widest, word_counts
 from querylens.operators.shared import cut, forget
 
 TRAIN, EVALUATION = ["train"], ["dev", "test"]
@@ -56,18 +58,16 @@ def _ordered(batch: pa.RecordBatch, count: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _after(t: np.ndarray) -> np.ndarray:
     """The cell of each word together with the one before it."""
+    t = t.view(np.uint32).astype(np.uint64)
     return (words.mix(np.r_[np.uint64(0), t[:-1]] * words.GOLD + t) >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
-def _count_after(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << CELLS, np.int64)
-        for batch in words.slices(batches, ("_a", "_b")):
-            n += np.bincount(_after(_ordered(batch, counts.value)[1]), minlength=len(n))
-        cell = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
-
-    return run
+def _count_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << CELLS, np.int64)
+    for batch in batches:
+        n += np.bincount(_after(_flat(batch.column("words"))[0]), minlength=len(n))
+    cell = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
 
 
 def weights(rows: np.ndarray, often: np.ndarray, both: np.ndarray, total: int) -> np.ndarray:
@@ -103,71 +103,140 @@ def pieces(begin: np.ndarray, n: np.ndarray, often: np.ndarray, weight: np.ndarr
     return row[order], start[order], end[order]
 
 
-LAID = "id long, split string, root_db string, k1 long, k2 long, n int, s long, words array<int>, ends array<int>"
+def spare(n: np.ndarray) -> np.ndarray:
+    """How many words of a record an alike one lacks at most."""
+    return n - least_shared(n)
+
+
+def first_words(n: np.ndarray, often: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """By row how many first words are enough as pieces, and how often these come if that is more than `rare` times each, else 0."""
+    begin, lone = np.cumsum(n) - n, np.where(n > 0, spare(n) + 1, 0)
+    so_far = np.r_[0, np.cumsum(often.astype(np.int64))]
+    met = so_far[begin + lone] - so_far[begin]
+    return lone, np.where(met > rare * lone, met, 0)
+
+
+def cheapest(n: np.ndarray, t: np.ndarray, often: np.ndarray, afters: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, end): the pieces of each row, which stand one behind the other from its first word on: its first words one by one, or
+    those of pieces() if fewer records are expected to hold them. Either loses no pair, so each row may choose."""
+    rows, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    weight = weights(rows, often, afters[_after(t)], total)
+    of, start, end = pieces(begin, n, often, weight)
+    told = np.r_[0.0, np.cumsum(weight)]
+    lone, met = first_words(n, often, 0)
+    better = np.bincount(of, total * np.exp2(told[start] - told[end]), len(n)) < met
+    of, end, lone = of[better[of]], (end - begin[of])[better[of]], np.where(better, 0, lone)
+    row, place = _upto(lone)
+    row, end = np.r_[row, of], np.r_[place + 1, end]
+    order = np.lexsort((end, row))
+    return row[order], end[order]
+
+
+def _upto(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): the places 0 to n - 1 of each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+LAID = "id long, split string, root_db string, k1 long, k2 long, n int, s1 long, s2 long, words binary, often binary"
+
 
+def _lay(counts, rare: int):
+    """Words as 32-bit numbers; counts of words only for rows whose first words are frequent."""
 
-def _lay(counts, afters, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, ("_a", "_b")):
             m = batch.num_rows
             rows, t, often = _ordered(batch, counts.value)
             n = np.bincount(rows, minlength=m).astype(np.int64)
-            begin = np.cumsum(n) - n
-            of, _, end = pieces(begin, n, often, weights(rows, often, afters.value[_after(t)], total))
+            dear = first_words(n, often, rare)[1] > 0
             out = sketches(rows, t, m)
             codes = (t >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(x, minlength=m))].astype(np.int32)), pa.array(y.astype(np.int32))) for x, y in ((rows, codes), (of, end - begin[of]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("split"), batch.column("root_db"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), pa.array((out["s1"] ^ out["s2"]).view(np.int64)), *lists],
+                [batch.column("id"), batch.column("split"), batch.column("root_db"), *(pa.array(out[k].view(np.int64)) for k in ("k1", "k2")), pa.array(n.astype(np.int32)), *(pa.array(out[k].view(np.int64)) for k in ("s1", "s2")), _blobs(codes, n), _blobs(often[dear[rows]], np.where(dear, n, 0))],
                 [c.split()[0] for c in LAID.split(", ")],
             )
 
     return run
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a list column and where each list begins, with the end of the last."""
-    at = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
+def _blobs(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of so many numbers as bytes, which the JVM moves without looking at each number."""
+    at = np.r_[0, 4 * np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.astype(np.int32).tobytes())])
 
 
-def _heads(flat: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """By what pieces and places of texts are dealt to automata: so many words from start on."""
-    h = np.full(len(start), size, np.uint64)
-    for k in range(size):
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists, or of their bytes, and where each list begins, with the end of the last."""
+    if not pa.types.is_binary(column.type):
+        at = column.offsets.to_numpy().astype(np.int64)
+        return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32) if at[-1] > at[0] else np.zeros(0, np.int32)
+    return flat, (at - at[0]) // 4
+
+
+def _heads(flat: np.ndarray, start: np.ndarray, alone: bool = False) -> Iterator[np.ndarray]:
+    """By what pieces and places of texts are dealt to automata: one word from start on, two words, and so on up to HEAD. A record's
+    first words that are pieces each by itself are dealt apart, for they are looked up only among a text's first words."""
+    h = np.full(len(start), 0 if alone else 1, np.uint64)
+    for k in range(1 if alone else HEAD):
         h = words.mix(h * words.GOLD + flat[np.minimum(start + k, len(flat) - 1)].view(np.uint32).astype(np.uint64) + np.uint64(1))
-    return h
+        yield h
 
 
-DEALT = "head long, id long, n int, s long, letters array<int>"
+DEALT = "head long, id long, n int, s1 long, s2 long, letters binary"
 
 
 def _dealt(batch: pa.RecordBatch, head: np.ndarray, row: np.ndarray, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     size = end - start
-    ends = np.r_[0, np.cumsum(size)]
-    letters = flat[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(start, size)]
-    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", "n", "s")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(letters))], [c.split()[0] for c in DEALT.split(", ")])
+    piece, place = _upto(size)
+    letters = flat[start[piece] + place]
+    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", "n", "s1", "s2")), _blobs(letters, size)], [c.split()[0] for c in DEALT.split(", ")])
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat, at = _flat(batch.column("words"))
-        ends, of = _flat(batch.column("ends"))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(of))
-        if len(row):
-            end = ends + at[row]
-            start = np.where(np.r_[True, row[1:] != row[:-1]], at[row], np.r_[0, end[:-1]])
-            size, head = np.minimum(end - start, HEAD), np.zeros(len(row), np.uint64)
-            for k in range(1, HEAD + 1):
-                head[size == k] = _heads(flat, start[size == k], k)
-            yield _dealt(batch, head, row, flat, start, end)
+def _patterns(afters, total: int):
+    """The pieces, and by how many words each is dealt; 0 for one of the first words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = _flat(batch.column("words"))
+            often, of = _flat(batch.column("often"))
+            n = np.diff(at)
+            if not len(flat):
+                continue
+            dear = np.diff(of) > 0
+            row, end = _upto(np.where(dear, 0, spare(n) + 1))
+            end += 1
+            if dear.any():
+                r, e = cheapest(n[dear], flat[np.repeat(dear, n)], often, afters.value, total)
+                row, end = np.r_[row, np.flatnonzero(dear)[r]], np.r_[end, e]
+                order = np.lexsort((end, row))
+                row, end = row[order], end[order]
+            first = np.r_[True, row[1:] != row[:-1]]
+            start = np.where(first, 0, np.r_[0, end[:-1]])
+            nth = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+            kind = np.where(end == nth + 1, 0, np.minimum(end - start, HEAD))
+            start, end = start + at[row], end + at[row]
+            head = next(_heads(flat, start, alone=True))
+            if kind.any():
+                for k, h in enumerate(_heads(flat, start), 1):
+                    head = np.where(kind == k, h, head)
+            yield _dealt(batch, head, row, flat, start, end).append_column("kind", pa.array(kind.astype(np.int32)))
+
+    return run
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of heads, 64 a word; the word behind the last has a bit for each kind of piece."""
     for batch in batches:
         bit = np.unique(batch.column("head").to_numpy().view(np.uint64) >> np.uint64(64 - HEADS)).astype(np.int64)
+        bit = np.r_[bit, (1 << HEADS) + np.unique(batch.column("kind").to_numpy())]
         word = bit >> 6
-        if len(bit):
+        if batch.num_rows:
             begin = words.starts(word)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), begin)
             yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -178,17 +247,28 @@ def _fragments(marks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = marks.value
+        kinds = int(marked[-1])
+
+        def hit(head: np.ndarray) -> np.ndarray:
+            bit = head >> np.uint64(64 - HEADS)
+            return (marked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
         for batch in batches:
             flat, at = _flat(batch.column("words"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             if not len(row):
                 continue
             place, stop = np.arange(len(flat)), at[row + 1]
-            for k in range(1, HEAD + 1):
-                head = _heads(flat, place, k)
-                bit = head >> np.uint64(64 - HEADS)
-                hit = (marked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                here = np.flatnonzero(hit & (place + k <= stop))
+            if kinds & 1:  # the first word that two alike records share is among the first ones of either
+                few = place[place - at[row] <= spare(np.diff(at))[row]]
+                head = next(_heads(flat, few, alone=True))
+                here, head = few[hit(head)], head[hit(head)]
+                if len(here):
+                    yield _dealt(batch, head, row[here], flat, here, here + 1)
+            if not kinds >> 1:
+                continue
+            for k, head in enumerate(_heads(flat, place), 1):
+                here = np.flatnonzero(hit(head) & (place + k <= stop)) if kinds >> k & 1 else []
                 if len(here):
                     yield _dealt(batch, head[here], row[here], flat, here, here + k if k < HEAD else np.minimum(here + PIECE, stop[here]))
 
@@ -208,8 +288,8 @@ class _Machine:
         order = np.argsort(np.array(which), kind="stable")
         self.size = np.bincount(np.array(which), minlength=len(kinds))
         self.begin = np.cumsum(self.size) - self.size
-        self.id, self.n, s = (np.concatenate([p.column(c).to_numpy() for p in parts])[order] for c in ("id", "n", "s"))
-        self.s = s.view(np.uint64)
+        self.id, self.n, *s = (np.concatenate([p.column(c).to_numpy() for p in parts])[order] for c in ("id", "n", "s1", "s2"))
+        self.s = [x.view(np.uint64) for x in s]
 
     def scan(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         """Pairs (smaller id, larger id) of records whose sketches lie within the radius."""
@@ -222,13 +302,13 @@ class _Machine:
         if not text:
             return
         text, kind = np.array(text), np.array(kind)
-        ident, n, s = (batch.column(c).to_numpy() for c in ("id", "n", "s"))
+        ident, n, *s = (batch.column(c).to_numpy() for c in ("id", "n", "s1", "s2"))
         upto = np.cumsum(self.size[kind])
         for part in np.split(np.arange(len(text)), np.searchsorted(upto, np.arange(2_000_000, int(upto[-1]), 2_000_000))):
             size = self.size[kind[part]]
             x = np.repeat(text[part], size)
             y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[kind[part]], size)
-            apart = np.bitwise_count(s[x].view(np.uint64) ^ self.s[y]).astype(np.int32)
+            apart = sum(np.bitwise_count(a[x].view(np.uint64) ^ b[y]).astype(np.int32) for a, b in zip(s, self.s))
             near = (apart <= radius(n[x], self.n[y])) & (ident[x] != self.id[y])
             if near.any():
                 a, b = ident[x[near]], self.id[y[near]]
@@ -263,20 +343,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def _links(classes: DataFrame, searched: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(classes: DataFrame, searched: DataFrame, texts: DataFrame, afters, total: int) -> DataFrame:
     """Proven links (a, b) between the classes searched for, (id), and all classes, as a written table."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pats = cut(classes.join(searched, "id", "left_semi").mapInArrow(_patterns, DEALT))
+    classes = classes.select("id", "n", "s1", "s2", "words", "often")
+    pats = cut(classes.join(searched, "id", "left_semi").mapInArrow(_patterns(afters, total), DEALT + ", kind int"))
     n = pats.count()
     found = None
     for block in range(max(1, -(-n // AT_ONCE))):
         some = pats if n <= AT_ONCE else pats.where(F.pmod("head", F.lit(-(-n // AT_ONCE))) == block)
-        marked = np.zeros(1 << (HEADS - 6), np.uint64)
+        marked = np.zeros((1 << (HEADS - 6)) + 1, np.uint64)
         marks = some.mapInArrow(_marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         marked[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-        shared = spark.sparkContext.broadcast(marked)
-        frags = classes.mapInArrow(_fragments(shared), DEALT)
+        shared, some = spark.sparkContext.broadcast(marked), some.drop("kind")
+        frags = classes.drop("often").mapInArrow(_fragments(shared), DEALT)
         subs = F.lit(0)
         hot = cut(some.groupBy("head").agg(F.count("*").alias("c")).where(F.col("c") > SUB).select("head", F.ceil(F.col("c") / SUB).cast("int").alias("m")))
         if hot.take(1):  # at most AT_ONCE / SUB heads
@@ -285,7 +366,7 @@ def _links(classes: DataFrame, searched: DataFrame, texts: DataFrame) -> DataFra
             subs = F.col("sub")
         shards = max(parts, -(-n // PIECES))
         both = some.withColumn("text", F.lit(False)).unionByName(frags.withColumn("text", F.lit(True)))
-        both = both.select(F.pmod(F.xxhash64("head", subs), F.lit(shards)).cast("int").alias("shard"), "text", "id", "n", "s", "letters")
+        both = both.select(F.pmod(F.xxhash64("head", subs), F.lit(shards)).cast("int").alias("shard"), "text", "id", "n", "s1", "s2", "letters")
         pairs = cut(both.repartition(parts, "shard").sortWithinPartitions("shard", "text").mapInArrow(_met, "a long, b long").distinct())
         found = pairs if found is None else found.unionByName(pairs)
         shared.unpersist()
@@ -308,16 +389,18 @@ def overlaps(samples: DataFrame, registry: DataFrame, rounds: int = ROUNDS) -> D
     rows = rows.join(of.select(F.col("key").alias("_key"), "root_db"), "_key", "left").select("id", "split", "root_db", "_a", "_b")
     texts = samples.where("sample_id is not null").select(F.col("sample_id").cast("long").alias("id"), F.col("question").alias("_a"), F.col("query").alias("_b"))
     shared = spark.sparkContext.broadcast(word_counts(texts))
-    afters = spark.sparkContext.broadcast(summed(texts.mapInArrow(_count_after(shared), "cell int, n long")))
-    laid = cut(rows.mapInArrow(_lay(shared, afters, samples.count()), LAID).where("n > 0"))
+    laid = cut(rows.mapInArrow(_lay(shared, RARE), LAID).where("n > 0"))
+    afters, total = None, laid.count()
+    if laid.where("length(often) > 0").take(1):
+        afters = spark.sparkContext.broadcast(summed(laid.select("words").mapInArrow(_count_after, "cell int, n long")))
     held = F.max(F.col("split").isin(EVALUATION) & F.col("root_db").isNotNull()).alias("held")
-    classes = cut(laid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.min_by(F.struct("n", "s", "words", "ends"), "id").alias("of")).select("k1", "k2", "id", "held", "of.*"))
+    classes = cut(laid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.min_by(F.struct("n", "s1", "s2", "words", "often"), "id").alias("of")).select("k1", "k2", "id", "held", "of.*"))
     full, laid = laid, cut(laid.select("id", "split", "root_db", "k1", "k2"))
     forget(full)
     used = new = cut(classes.where("held").select("id"))
     links = None
     for turn in range(rounds + 1):
-        found = _links(classes, new, texts)
+        found = _links(classes, new, texts, afters, total)
         links = found if links is None else cut(links.unionByName(found).distinct())
         new = cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(used, "id", "left_anti"))
         if not new.take(1):
